@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, packing, token_counts
+from . import chat, huffman, packing, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_id_output": huffman.query,
+        "op4_chat_formatting": chat.query,
         "op7_packing": packing.query,
         "op10_token_counts": token_counts.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": chat.SQL}
