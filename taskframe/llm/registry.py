@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, huffman, packing, token_counts
+from . import chat, huffman, language, packing, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_id_output": huffman.query,
+        "op3_toxicity": toxicity.query,
         "op4_chat_formatting": chat.query,
         "op7_packing": packing.query,
+        "op9_language_id": language.query,
         "op10_token_counts": token_counts.query,
     }
 
