@@ -22,8 +22,8 @@ from .features import BATCH_BYTES, Words
 BITS = 20
 #: The documented bound of the training sample: most rows of each label, picked by a hash of doc_id.
 MOST_TOXIC, MOST_CLEAN = 6_000, 12_000
-#: Learning rate, its offset, L1, L2, passes, and how many times a toxic row counts.
-ALPHA, BETA, L1, L2, PASSES, TOXIC_WEIGHT = 1.0, 1.0, 3.0, 0.1, 8, 2.0
+#: Learning rate, its offset, L1, L2 and passes: strong L1 and many passes keep few, large weights.
+ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 5.0, 0.01, 15
 THRESHOLD = 0.3
 
 
@@ -61,7 +61,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
             z_at, n_at = z[at], n[at]
             w = weights(z_at, n_at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
-            g *= TOXIC_WEIGHT if labels[i] else 1.0
             grown = n_at + g * g
             z[at] = z_at + g - (np.sqrt(grown) - np.sqrt(n_at)) / ALPHA * w
             n[at] = grown
