@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, huffman, language, packing, token_counts, toxicity
+from . import chat, huffman, language, near_dups, packing, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_id_output": huffman.query,
+        "op2_minhash_near_dedup": near_dups.query,
         "op3_toxicity": toxicity.query,
         "op4_chat_formatting": chat.query,
         "op7_packing": packing.query,
