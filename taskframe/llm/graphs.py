@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,10 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
-def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of binary keys as 64-bit words, two bits a key, put together by bit_or; at most FILTER_BITS bits reach the driver."""
-    bits = F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)])).alias("bit")
-    rows = keys.select(bits).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toPandas()
+def key_filter(keys: DataFrame, column: str, bits: list[Column] | None = None) -> np.ndarray:
+    """A Bloom filter of keys as 64-bit words, two bits a key, put together by bit_or; at most FILTER_BITS bits reach the driver."""
+    bits = bits or [F.pmod(F.xxhash64(column, F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)]
+    rows = keys.select(F.explode(F.array(*bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toPandas()
     words = np.zeros(FILTER_BITS // 64, np.int64)
     words[rows.word.to_numpy(np.int64)] = rows.bits.to_numpy(np.int64)
     return words.view(np.uint64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, huffman, language, near_dups, packing, token_counts, toxicity
+from . import chat, huffman, language, near_dups, packing, suffixes, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash_near_dedup": near_dups.query,
         "op3_toxicity": toxicity.query,
         "op4_chat_formatting": chat.query,
+        "op5_suffix_array_dedup": suffixes.query,
         "op7_packing": packing.query,
         "op9_language_id": language.query,
         "op10_token_counts": token_counts.query,
