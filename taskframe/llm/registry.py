@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, huffman, language, near_dups, packing, suffixes, token_counts, toxicity
+from . import chat, decontaminate, huffman, language, near_dups, packing, suffixes, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_formatting": chat.query,
         "op5_suffix_array_dedup": suffixes.query,
         "op7_packing": packing.query,
+        "op8_benchmark_decontamination": decontaminate.query,
         "op9_language_id": language.query,
         "op10_token_counts": token_counts.query,
     }
