@@ -49,7 +49,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int |
     place in it, unique and the same when a lost task runs again. Null text: empty, so only the end id; without end id
     an empty text has no piece. Null or repeated doc_ids are kept as they are. Other columns are ignored.
     """
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket long" + ", ids array<long>" * ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket long" + ", ids array<int>" * ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -68,7 +68,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int |
                 columns = [batch.column(0).take(pa.array(doc)), start, length, pa.array(crc, pa.int64()), n[doc], sequence + np.arange(len(doc)), np.zeros(len(doc), np.int64), length]
                 sequence += len(doc)
                 if ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)) if len(at) else [0], pa.int32()), pa.array(flat.astype(np.int64))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)) if len(at) else [0], pa.int32()), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
