@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, huffman, language, near_dups, packing, suffixes, token_counts, toxicity
+from . import chat, decontaminate, huffman, language, near_dups, neighbours, packing, suffixes, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.query,
         "op4_chat_formatting": chat.query,
         "op5_suffix_array_dedup": suffixes.query,
+        "op6_nearest_neighbours": neighbours.query,
         "op7_packing": packing.query,
         "op8_benchmark_decontamination": decontaminate.query,
         "op9_language_id": language.query,
