@@ -9,7 +9,9 @@ white space could make that split wrong (runs, tabs, leading or trailing space)
 from __future__ import annotations
 
 import json
+import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,9 @@ CACHE_WORDS = 900_000
 #: Bytes of text that are encoded at once.
 BATCH_BYTES = 8 << 20
 
+# a worker has one core; the library's own threads would only wait for each other
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -47,7 +52,10 @@ def _kind(spec: dict) -> str:
 
 
 #: Letters that lower-case and normalise one by one, alike everywhere.
-_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PLAIN_CLASS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+_PLAIN = re.compile(f"{_PLAIN_CLASS}+")
+#: White space of any kind at an end of a word, or no word.
+_ODD = r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]$"
 
 
 class Encoder:
@@ -69,16 +77,18 @@ class Encoder:
         self.ends = np.zeros(1 << 14, np.int64)  # ends[i + 1] is where word i's ids end
         self.hits = np.zeros(1 << 14, np.int32)
         self.n = 0
+        ids, ends = self._whole(["", ".", ","])
+        self._put(["", ".", ","], ids, np.diff(ends))
 
     def _shrink(self) -> None:
         """Keeps the words met in more than one batch, or none if those alone fill half of the cache."""
-        keep = np.flatnonzero(self.hits[: self.n] > 1)
+        keep = 3 + np.flatnonzero(self.hits[3 : self.n] > 1)
         words, flat, ends, hits = list(self.known), self.flat, self.ends, self.hits
         self._clear()
         if len(keep) <= CACHE_WORDS // 2:
             lens = ends[keep + 1] - ends[keep]
             self._put([words[i] for i in keep], _ragged(flat, ends[keep], lens), lens)
-            self.hits[: self.n] = hits[keep] // 2
+            self.hits[3 : self.n] = hits[keep] // 2
 
     def _put(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         end = self.ends[self.n]
@@ -114,27 +124,32 @@ class Encoder:
             self._put(part, ids, np.diff(ends))
 
     def _places(self, words: list[str]) -> np.ndarray:
-        """Each word's number in the cache."""
+        """Each word's number in the cache; the words are different."""
         if self.n + len(words) > CACHE_WORDS:
             self._shrink()
-        known = self.known
-        if missing := list(dict.fromkeys(w for w in words if w not in known)):
+        found = list(map(self.known.get, words))
+        place = np.array(found, np.float64)  # None becomes NaN
+        new = np.flatnonzero(np.isnan(place))
+        if len(new):
+            missing = [words[i] for i in new.tolist()]
             self._add(missing)
-        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            place[new] = list(map(self.known.__getitem__, missing))
+        place = place.astype(np.int64)
         self.hits[place] += 1
         return place
 
-    def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all the words, offsets). A full stop or comma after a plain letter is a word of its own."""
-        lower = self.kind == "words"
-        base, mark = [], np.zeros(len(words), np.int64)
-        for i, w in enumerate(words):
-            if w[-1:] in (".", ",") and _PLAIN.match(w[-2:-1]):
-                mark[i] = 1 + (w[-1] == ",")
-                w = w[:-1]
-            base.append(w.lower() if lower and _PLAIN.fullmatch(w) else w)
-        place = self._places([*base, "", ".", ","])
-        place = np.stack([place[:-3], place[-3:][mark]], 1).ravel()
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the words, offsets). A full stop or comma after a plain word is a word of its own."""
+        comma = pc.ends_with(words, ",")
+        marked = pc.or_(comma, pc.ends_with(words, "."))
+        base = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
+        plain = pc.match_substring_regex(base, f"^ ?{_PLAIN_CLASS}+$")
+        marked = pc.and_(marked, plain)
+        base = pc.if_else(plain, pc.utf8_lower(base) if self.kind == "words" else base, words)
+        coded = base.dictionary_encode()
+        place = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(coded.indices)]
+        mark = np.asarray(marked, np.int64) + np.asarray(pc.and_(marked, comma), np.int64)
+        place = np.stack([place, mark], 1).ravel()  # "", "." and "," are the first words of the cache
         lens = self.ends[place + 1] - self.ends[place]
         return _ragged(self.flat, self.ends[place], lens), np.concatenate([[0], np.cumsum(lens.reshape(-1, 2).sum(1))])
 
@@ -162,7 +177,7 @@ class Encoder:
         got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         ends = np.zeros(len(got) + 1, np.int64)
         np.cumsum([len(g) for g in got], out=ends[1:])
-        return np.fromiter((i for g in got for i in g), np.uint32, int(ends[-1])), ends
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(ends[-1])), ends
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids by text)"""
@@ -173,20 +188,22 @@ class Encoder:
         word_of_line = np.asarray(words.offsets, np.int64) - words.offsets[0].as_py()
         word_of = word_of_line[line_of]  # where each text's words begin
         coded = words.flatten().dictionary_encode()
-        which, distinct = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
+        which, distinct = np.asarray(coded.indices, np.int64), coded.dictionary
         if not bytes_kind:
             return self._gather(*self._distinct(distinct), which, word_of, None)
         # " word" and "word" are different words; the first of a line has no space before it
         first = np.zeros(len(which), bool)
         first[word_of_line[:-1]] = True
-        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in distinct), bool, len(distinct))
+        odd = np.asarray(pc.match_substring_regex(distinct, _ODD), bool)
         odd_text = np.add.reduceat(odd[which].astype(np.int64), word_of[:-1]) > 0
         seen = np.zeros(2 * len(distinct), bool)
         seen[which * 2 + first] = True
         used = np.flatnonzero(seen)
         rank = np.cumsum(seen) - 1
         which = rank[which * 2 + first]
-        flat, ends = self._distinct([distinct[u >> 1] if u & 1 else " " + distinct[u >> 1] for u in used.tolist()] + ["\n"])
+        variants = distinct.take(pa.array(used >> 1))
+        variants = pc.if_else(pa.array(used & 1 == 1), variants, pc.binary_join_element_wise(" ", variants, ""))
+        flat, ends = self._distinct(pa.concat_arrays([variants, pa.array(["\n"])]))
         # one token between two lines
         inner = np.setdiff1d(word_of_line[:-1], word_of[:-1])
         which = np.insert(which, inner, len(used))
