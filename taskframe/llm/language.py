@@ -47,8 +47,8 @@ def places(code: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 
 def train(docs: DataFrame) -> Model:
-    """Learns from docs(doc_id, text, lang). Rows with null text, lang or doc_id are ignored. At most MOST_DOCS rows of
-    each language, picked by a hash of doc_id and text; beyond MOST_LANGS languages the least frequent are left out.
+    """Learns from docs(doc_id, text, lang). Rows with null text, lang or doc_id are ignored. About MOST_DOCS rows
+    of each language at most, picked by a hash of doc_id; beyond MOST_LANGS languages the least frequent are left out.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     known = known.withColumn("rank", F.xxhash64("doc_id"))
