@@ -50,11 +50,10 @@ def admissions(requests: DataFrame, group: list[str], at_ns: str, order: list[st
     second = 1_000_000_000
     tau = second // per_second
     by = Window.partitionBy(*group).orderBy(at_ns, *order)
-    n = F.row_number().over(by).cast("long")
-    rows = requests.withColumn("n", n)
-    high = F.max(F.col(at_ns) - (F.col("n") - 1) * tau).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tat = F.col("n") * tau + F.greatest(F.lit(per_second * tau), high)
-    return rows.withColumn("admit_ns", F.greatest(F.col(at_ns), tat - second)).drop("n")
+    rows = requests.withColumn("_n", F.row_number().over(by).cast("long"))
+    high = F.max(F.col(at_ns) - (F.col("_n") - 1) * tau).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    tat = F.col("_n") * tau + F.greatest(F.lit(per_second * tau), high)
+    return rows.withColumn("admit_ns", F.greatest(F.col(at_ns), tat - second)).drop("_n")
 
 
 def silences(pings: DataFrame, by: str, ts: str, seconds: float = SILENCE_SECONDS) -> DataFrame:
