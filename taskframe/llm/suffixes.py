@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from . import common
 from .graphs import FILTER_BITS, filter_bits, key_filter, may_hold
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 40
 #: Bytes of text hashed at once; bytes of regions in one suffix array; different regions of an anchor in one shard.
-BATCH_BYTES, SHARD_BYTES, SPLIT = 2 << 20, 3 << 20, 16_384
+BATCH_BYTES, SHARD_BYTES, SPLIT = 1 << 20, 3 << 19, 8_192
 _NONE = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -47,17 +47,13 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         key <<= np.uint64(9)
         inside = at[: n - k] + k < stop[: n - k]
         key[: n - k] |= np.where(inside, text[k:].astype(np.uint64) + np.uint64(1), np.uint64(0))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # the order of ties is that of later rounds
     sorted_key = key[order]
-    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    begins = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1], [True]])  # where groups of equal ranks begin
     rank = np.zeros(n, np.int64)  # the first place of the suffix's group
-    place = np.flatnonzero(new)
-    rank[order] = place[np.cumsum(new) - 1]
-    h = 7
+    rank[order] = np.flatnonzero(begins[:-1])[np.cumsum(begins[:-1]) - 1]
+    h, where = 7, np.flatnonzero(~(begins[:-1] & begins[1:]))
     while True:
-        size = np.diff(np.append(place, n))
-        tied = np.repeat(size > 1, size)
-        where = np.flatnonzero(tied)
         if not len(where):
             return order
         members = order[where]
@@ -65,13 +61,14 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         over = ahead >= stop[members]
         second = np.where(over, owner[members], m + rank[np.minimum(ahead, n - 1)])
         group = rank[members]
-        by = np.lexsort((second, group)) if n + m >= 1 << 31 else np.argsort(group << 32 | second, kind="stable")
+        by = np.lexsort((second, group)) if n + m >= 1 << 31 else np.argsort(group << 32 | second)
         members, group, second = members[by], group[by], second[by]
         order[where] = members
         fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
         first = where[np.flatnonzero(fresh)]
         rank[members] = first[np.cumsum(fresh) - 1]
-        place = np.union1d(place, first)
+        begins[first] = True
+        where = where[~(begins[where] & begins[where + 1])]
         h *= 2
 
 
@@ -226,28 +223,40 @@ def repeats(docs: DataFrame) -> DataFrame:
             row, first, count, anchor, whole = regions(flat, ends)
             hit = may_hold(filled.value, (anchor & mask).astype(np.int64), (anchor >> np.uint64(32) & mask).astype(np.int64))
             row, first, count, anchor, whole = (x[hit] for x in (row, first, count, anchor, whole))
-            # a region that stood in the same text before is superfluous as it is, and needs no bytes
+            # a region that stood in the same text before is superfluous as it is
             by = np.lexsort((first, whole, anchor, row))
             again = np.zeros(len(row), bool)
             again[by[1:]] = (row[by[1:]] == row[by[:-1]]) & (anchor[by[1:]] == anchor[by[:-1]]) & (whole[by[1:]] == whole[by[:-1]])
-            raw = flat.tobytes()
-            span = [None if a else raw[f : f + c + LENGTH - 1] for a, f, c in zip(again.tolist(), first.tolist(), count.tolist())]
             take = pa.array(row)
-            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(first - ends[row]), pa.array(count), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(span, pa.binary())], ["doc", "tie", "start", "n", "anchor", "region", "bytes"])
+            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(first - ends[row]), pa.array(count), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(again)], ["doc", "tie", "start", "n", "anchor", "region", "again"])
 
-    found, _ = common.kept(texts.mapInArrow(occurrences, "doc long, tie long, start long, n long, anchor long, region long, bytes binary"), "occurrences")
-    same = found.filter("bytes IS NULL").select("doc", "tie", "start", "n")
-    light = found.filter("bytes IS NOT NULL").select("doc", "tie", "start", "n", "anchor", "region")
-    one = light.groupBy("anchor", "region").agg(F.min(F.struct("doc", "tie", "start")).alias("f"), F.count("*").alias("copies"))
-    kinds, _ = common.kept(one.select("anchor", "region", F.col("f.doc").alias("f_doc"), F.col("f.tie").alias("f_tie"), F.col("f.start").alias("f_start"), "copies"), "kinds")
+    found, _ = common.kept(texts.mapInArrow(occurrences, "doc long, tie long, start long, n long, anchor long, region long, again boolean"), "occurrences")
+    same = found.filter("again").select("doc", "tie", "start", "n")
+    light = found.filter("NOT again").select("doc", "tie", "start", "n", "anchor", "region")
+    one = light.groupBy("anchor", "region").agg(F.min(F.struct("doc", "tie", "start", "n")).alias("f"), F.count("*").alias("copies"))
+    kinds, _ = common.kept(one.select("anchor", "region", F.col("f.doc").alias("f_doc"), F.col("f.tie").alias("f_tie"), F.col("f.start").alias("f_start"), F.col("f.n").alias("f_n"), "copies"), "kinds")
     common.release(spark)
     # all but the first occurrence of one region are superfluous
-    copies = light.join(kinds.filter("copies > 1"), ["anchor", "region"]).filter("doc <> f_doc OR tie <> f_tie OR start <> f_start").select("doc", "tie", "start", "n")
+    copied = kinds.filter("copies > 1").select("anchor", "region", "f_doc", "f_tie", "f_start")
+    copies = light.join(copied, ["anchor", "region"]).filter("doc <> f_doc OR tie <> f_tie OR start <> f_start").select("doc", "tie", "start", "n")
     # the first occurrences of an anchor's different regions meet in a shard
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    first = kinds.join(several, "anchor").select("anchor", "region", F.col("f_doc").alias("doc"), F.col("f_tie").alias("tie"), F.col("f_start").alias("start"), "kinds")
-    chosen = found.filter("bytes IS NOT NULL").join(first, ["anchor", "region", "doc", "tie", "start"])
-    # repeated rows are the same occurrence twice: a shard takes it once
+    first = kinds.join(several, "anchor").select(F.col("f_doc").alias("doc"), F.col("f_tie").alias("tie"), F.struct("anchor", F.col("f_start").alias("start"), F.col("f_n").alias("n"), "kinds").alias("region"))
+    wanted, _ = common.kept(first.groupBy("doc", "tie").agg(F.collect_list("region").alias("wanted")), "wanted")  # bounded by the text's length
+    common.release(spark)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for batch in common.slices(whole, 2, BATCH_BYTES // 4):
+                regions_ = batch.column(3)
+                text = [press.decompress(p.as_py()) for p in batch.column(2)]
+                row = np.repeat(np.arange(len(text)), np.asarray(regions_.value_lengths()))
+                anchor, start, n, kinds_ = regions_.flatten().flatten()
+                span = [text[r][a : a + k + LENGTH - 1] for r, a, k in zip(row.tolist(), start.to_pylist(), n.to_pylist())]
+                yield pa.record_batch([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), anchor, start, kinds_, pa.array(span, pa.binary())], ["doc", "tie", "anchor", "start", "kinds", "bytes"])
+
+    chosen = _cut(docs, wanted).mapInArrow(extract, "doc long, tie long, anchor long, start long, kinds long, bytes binary")
     part = F.pmod(F.xxhash64("doc", "tie"), F.ceil(F.col("kinds") / SPLIT).cast("long")).alias("part")
     dealt = chosen.select("anchor", part, (F.col("kinds") > SPLIT).alias("split"), "doc", "tie", "start", "bytes")
     order = ["anchor", "part", "doc", "tie", "start"]
@@ -369,8 +378,8 @@ def _cut(docs: DataFrame, lost: DataFrame) -> DataFrame:
         press = zstandard.ZstdCompressor(level=1)
         for whole in batches:
             hit = np.flatnonzero(may_hold(words.value, np.asarray(whole.column(3)), np.asarray(whole.column(4))))
-            batch = whole.take(pa.array(hit))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([press.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())], ["doc", "tie", "packed"])
+            for batch in common.slices(whole.take(pa.array(hit)), 2, 4 * BATCH_BYTES):
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([press.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())], ["doc", "tie", "packed"])
 
     bits = [F.pmod(F.xxhash64("doc", "tie", F.lit(s)), F.lit(FILTER_BITS)).alias(f"bit{s}") for s in (1, 2)]
     packed = _texts(docs).select("doc", "tie", "text", *bits).mapInArrow(near, "doc long, tie long, packed binary").groupBy("doc", "tie").agg(F.min("packed").alias("packed"))
