@@ -337,7 +337,8 @@ def recent_mean(spark, d):
 @query("SELECT event_type, quantile_disc(CAST(round(value * 1000) AS BIGINT), 0.5) AS p50, quantile_disc(CAST(round(value * 1000) AS BIGINT), 0.99) AS p99 FROM events GROUP BY event_type")
 def latency_quantiles(spark, d):
     rows = fx.read(spark, d, "events").select("event_type", F.round(F.col("value") * 1000).cast("long").alias("us"))
-    return metrics.quantiles(rows, ["event_type"], "us", exact=True)
+    exact = metrics.quantiles(rows, ["event_type"], "us", exact=True)
+    return exact.select("event_type", F.col("p50").cast("long").alias("p50"), F.col("p99").cast("long").alias("p99"))
 
 
 @query(None)

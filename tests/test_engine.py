@@ -124,7 +124,6 @@ def test_queries_match_sql(spark, name):
     df = query(spark, SF)
     columns = sorted(df.columns)
     got = sorted(str(tuple(r[c] for c in columns)) for r in df.collect())
-    assert got or name == "etag_poll"
     if sql:
         con = duckdb.connect()
         for t in ("part", "orders", "lineitem", "customer", "supplier", "nation", "region", "events", "conversations"):
