@@ -25,6 +25,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 20 bands of 5: a pair at similarity 0.8 shares a band with probability 0.9996.
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
+#: Most candidate pairs that are sent to all executors; more are dealt out with the multisets.
+BROADCAST_PAIRS = 100_000
+#: Centres of a bucket in each turn after the first.
+CENTRES = 8
 #: Members compared with one copy of a bucket's centre, so that no group grows with the bucket.
 GROUP = 256
 
@@ -148,29 +152,33 @@ def _multisets(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of similarity SIMILARITY or more. Members meet copies of their centre v in groups of about GROUP."""
+    """(u, v): the roots of the pairs (u, v, root, v_root) of similarity SIMILARITY or more. Members meet copies of
+    their centre v in groups of about GROUP. Multisets go to the pairs, or, where those are few, pairs to the multisets."""
+    few = pairs.count() <= BROADCAST_PAIRS
+    small = F.broadcast if few else lambda df: df  # checked: at most about 100 bytes a pair
     size = pairs.groupBy("v").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    member = pairs.join(size, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
-    member = member.join(sets, member.u == sets.key).select("v", "part", "u", "multiset")
-    centre = size.join(sets, size.v == sets.key).select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("u"), "multiset")
+    member = pairs.join(small(size), "v").select(F.col("u").alias("key"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("order"), "root", "v_root")
+    none = F.lit(None).cast("binary")
+    centre = size.select(F.col("v").alias("key"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("order"), none.alias("root"), none.alias("v_root"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, centre, of = zstandard.ZstdDecompressor(), None, None
         for batch in batches:
             us, vs = [], []
-            for v, part, u, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for v, part, order, root, v_root, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 own = np.frombuffer(press.decompress(packed), np.uint64)
-                if u is None:
+                if not order:
                     centre, of = own, (v, part)
                 elif of == (v, part):
                     at = np.searchsorted(centre, own)
                     both = int((centre[np.minimum(at, len(centre) - 1)] == own).sum()) if len(centre) else 0
                     if both >= SIMILARITY * (len(own) + len(centre) - both) - 1e-9:
-                        us.append(u)
-                        vs.append(v)
+                        us.append(root)
+                        vs.append(v_root)
             yield pa.record_batch([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
 
-    rows = member.unionByName(centre).repartition(common.shuffle_partitions(pairs.sparkSession), "v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
+    rows = sets.join(small(member.unionByName(centre)), "key").select("v", "part", "order", "root", "v_root", "multiset")
+    rows = rows.repartition(common.shuffle_partitions(pairs.sparkSession), "v", "part").sortWithinPartitions("v", "part", "order")
     return rows.mapInArrow(compare, "u binary, v binary")
 
 
@@ -183,9 +191,11 @@ def classes(docs: DataFrame) -> DataFrame:
     words (null, empty, punctuation) is similar to nothing: it is a class by itself, with a null class_key and class_id
     = doc_id. Rows with one doc_id but different texts are different nodes. An empty table gives no rows.
 
-    Candidates: in every bucket of a band all members are compared with a random member, the centre, which is linear
-    in the bucket. Where members of one bucket are still in different classes, this is done again with other centres,
-    until a round finds no new link.
+    Candidates: every bucket of a band has a random member as its centre. First each member is compared with the first
+    of its buckets' centres in one common order, then, where members of one bucket are still in different classes, with
+    CENTRES other centres of each bucket in each turn, until a turn finds no new link; in each bucket the members of one
+    random member's class are not asked again. Every turn is linear in the
+    buckets.
     """
     spark = docs.sparkSession
     rows, _ = common.kept(_keyed(docs).mapInArrow(_sketch, "doc_id long, key binary, bands binary"), "sketches")
@@ -197,28 +207,37 @@ def classes(docs: DataFrame) -> DataFrame:
     candidates = bands.select("key").distinct()
     sets, _ = common.kept(_multisets(docs, candidates), "multisets", "none")
     common.release(spark)
-    links, roots, turn = None, None, 0
+    open_, found_roots, turn = bands.withColumn("root", F.col("key")), [], 0
     while True:
-        members = bands.withColumn("root", F.col("key")) if roots is None else bands.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        centre = members.groupBy("bucket", "bucket2").agg(F.min(F.struct(F.xxhash64("key", "bucket", F.lit(turn)), "key", "root")).alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket", "bucket2", F.col("c.key").alias("v"), F.col("c.root").alias("v_root"))
-        pairs = members.join(centre, ["bucket", "bucket2"]).filter("root <> v_root").select(F.col("key").alias("u"), "v").distinct()
-        if roots is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        # one order of all members a turn, so that the buckets of a group mostly have the same centre
+        centres = [F.min(F.struct(F.xxhash64("key", F.lit(turn * CENTRES + c)).alias("order"), "key", "root")) for c in range(CENTRES if turn else 1)]
+        # members of one random member's class wait: mostly that is the large class, and the others come to it
+        wait = F.min(F.struct(F.xxhash64("key", F.lit(-1 - turn)).alias("order"), "root")).alias("w")
+        centre = open_.groupBy("bucket", "bucket2").agg(F.array(*centres).alias("c"), wait, F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+        members = open_.join(centre.select("bucket", "bucket2", "c", F.col("w.root").alias("wait")), ["bucket", "bucket2"])
+        pairs = members.filter("root <> wait") if turn else members
+        pairs = pairs.select(F.col("key").alias("u"), "root", F.explode("c").alias("c")).filter("root <> c.root")
+        if turn:
+            pairs = pairs.select("u", F.col("c.key").alias("v"), "root", F.col("c.root").alias("v_root")).distinct()
+        else:  # most of a group has one centre in common; only what it leaves apart is looked at further
+            pairs = pairs.groupBy("u", "root").agg(F.min("c").alias("c")).select("u", F.col("c.key").alias("v"), "root", F.col("c.root").alias("v_root"))
         pairs, _ = common.kept(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         found, _ = common.kept(_verified(pairs, sets), "links")
-        tried = pairs if roots is None else tried.unionByName(pairs)
         if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+            if turn:
+                break
+            turn += 1
+            continue
+        roots = components(found).select(F.col("u").alias("root"), F.col("root").alias("new"))
+        roots, _ = common.kept(roots, "roots")
+        found_roots.append(roots)
+        joined = members.select("key", "bucket", "bucket2", "root").join(roots, "root", "left").select("key", "bucket", "bucket2", F.coalesce("new", "root").alias("root"))
+        open_, _ = common.kept(joined, "open")
         turn += 1
         common.release(spark)
-    if roots is None:
-        tagged = rows.withColumn("class_key", F.when(F.col("bands").isNotNull(), F.col("key")))
-    else:
-        tagged = rows.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("class_key", F.when(F.col("bands").isNotNull(), F.coalesce("root", "key")))
+    tagged = rows.withColumn("class_key", F.when(F.col("bands").isNotNull(), F.col("key")))
+    for roots in found_roots:
+        tagged = tagged.join(roots.withColumnRenamed("root", "class_key"), "class_key", "left").withColumn("class_key", F.coalesce("new", "class_key")).drop("new")
     tagged = tagged.select("doc_id", "key", "class_key")
     # a text without words has no class_key: it meets no other row
     best = tagged.filter("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"), F.count("*").alias("n"))
@@ -247,3 +266,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class: class_id is the smallest doc_id of the class."""
     return classes(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+#: All pairs that share a shingle, for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS g FROM w),
+m AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS total FROM m GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS shared FROM m a JOIN m b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE shared * 5 >= 4 * (x.total + y.total - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM c
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.SQL}
+    return {"op2_minhash_near_dedup": near_dups.SQL, "op4_chat_formatting": chat.SQL}
