@@ -27,8 +27,10 @@ BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 #: Most candidate pairs that are sent to all executors; more are dealt out with the multisets.
 BROADCAST_PAIRS = 100_000
-#: Centres of a bucket in each turn after the first.
-CENTRES = 8
+#: Members of a bucket whose pairs are listed one by one; those of larger buckets are compared in blocks.
+LISTED = 32
+#: Members of a block, and bytes of its packed multisets: both about, as members are dealt by a hash.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Members compared with one copy of a bucket's centre, so that no group grows with the bucket.
 GROUP = 256
 
@@ -182,6 +184,86 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "u binary, v binary")
 
 
+def links(values: list[np.ndarray], left: int) -> np.ndarray:
+    """Rows (i, j) that join all sets (sorted distinct 64-bit elements) linked by a similarity of SIMILARITY or more:
+    a spanning forest. The first `left` sets are compared with the others, or with each other if there are no others."""
+    size, n = np.array([len(v) for v in values]), len(values)
+    own, element = np.repeat(np.arange(n), size), np.concatenate(values)
+    _, element, count = np.unique(element, return_inverse=True, return_counts=True)
+    often = np.cumsum(count > 1) - 1
+    own, element = own[count[element] > 1], often[element[count[element] > 1]]
+    order = np.argsort(element, kind="stable")
+    own, element = own[order], element[order]
+    right = slice(left, n) if left < n else slice(0, n)
+    both = np.zeros((left, right.stop - right.start), np.float32)
+    for at in range(0, int(often[-1]) + 1 if n else 0, 4096):
+        a, b = np.searchsorted(element, (at, at + 4096))
+        holds = np.zeros((n, 4096), np.float32)
+        holds[own[a:b], element[a:b] - at] = 1
+        both += holds[:left] @ holds[right].T
+    near = np.zeros((n, n), bool)
+    near[:left, right] = both >= SIMILARITY * (size[:left, None] + size[None, right] - both.astype(np.float64)) - 1e-9
+    near |= near.T
+    todo, out = np.ones(n, bool), []
+    for start in range(n):
+        queue = [start] if todo[start] else []
+        todo[start] = False
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(near[i] & todo)
+            todo[new] = False
+            queue += new.tolist()
+            out += [(i, j) for j in new.tolist()]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _listed(open_: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(u, v, root, v_root): all pairs of different classes in the buckets of at most LISTED members."""
+    members = open_.join(sizes.filter(F.col("n") <= LISTED).select("bucket", "bucket2"), ["bucket", "bucket2"])
+    lists = members.groupBy("bucket", "bucket2").agg(F.collect_list(F.struct("key", "root")).alias("all")).select("all", F.explode("all").alias("m"))
+    pairs = lists.select("m", F.explode(F.filter("all", lambda x: (x["key"] > F.col("m.key")) & (x["root"] != F.col("m.root")))).alias("o"))
+    return pairs.select(F.col("m.key").alias("u"), F.col("o.key").alias("v"), F.col("m.root").alias("root"), F.col("o.root").alias("v_root")).distinct()
+
+
+def _blocks(open_: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): roots of different classes that a pair of similarity SIMILARITY or more joins, from all pairs of the
+    buckets of more than LISTED members. Members are dealt to blocks, those of the bucket's largest class to blocks of
+    their own, and every two blocks meet but two of the largest class."""
+    bucket = ["bucket", "bucket2"]
+    members = open_.join(sizes.filter(F.col("n") > LISTED).select(*bucket), bucket).join(sets.select("key", F.octet_length("multiset").cast("long").alias("bytes")), "key")
+    by_class = members.groupBy(*bucket, "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = by_class.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("int")
+    main = main.select(*bucket, "main", parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rest"), parts(F.col("top.n"), F.col("top.bytes")).alias("more"))
+    inside = F.col("root") == F.col("main")
+    dealt = members.join(main, bucket).withColumn("own", F.when(inside, F.col("rest") + F.pmod(F.xxhash64("key"), F.col("more"))).otherwise(F.pmod(F.xxhash64("key"), F.col("rest"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("more") - 1))))
+    dealt = dealt.select("key", *bucket, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "root")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, of, left, roots, values = zstandard.ZstdDecompressor(), None, 0, [], []
+
+        def joined() -> pa.RecordBatch:
+            found = {(roots[i], roots[j]) for i, j in links(values, left).tolist() if roots[i] != roots[j]} if left and (left < len(roots) or of[2] == of[3]) else ()
+            return pa.record_batch([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for *group, side, root, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != of:
+                    if of:
+                        yield joined()
+                    of, left, roots, values = group, 0, [], []
+                left += not side
+                roots.append(root)
+                values.append(np.frombuffer(press.decompress(packed), np.uint64))
+        if of:
+            yield joined()
+
+    rows = dealt.join(sets.select("key", "multiset"), "key").select(*bucket, "low", "high", "side", "root", "multiset")
+    rows = rows.repartition(common.shuffle_partitions(open_.sparkSession), *bucket, "low", "high").sortWithinPartitions(*bucket, "low", "high", "side")
+    return rows.mapInArrow(compare, "u binary, v binary").distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, key, class_id, class_key, keeper) of every row: rows whose texts are linked, directly or through others,
     by a weighted Jaccard similarity of word 5-gram multisets of 0.8 or more share a class.
@@ -191,11 +273,9 @@ def classes(docs: DataFrame) -> DataFrame:
     words (null, empty, punctuation) is similar to nothing: it is a class by itself, with a null class_key and class_id
     = doc_id. Rows with one doc_id but different texts are different nodes. An empty table gives no rows.
 
-    Candidates: every bucket of a band has a random member as its centre. First each member is compared with the first
-    of its buckets' centres in one common order, then, where members of one bucket are still in different classes, with
-    CENTRES other centres of each bucket in each turn, until a turn finds no new link; in each bucket the members of one
-    random member's class are not asked again. Every turn is linear in the
-    buckets.
+    Candidates: every two members of a bucket of a band. First each member is compared with the first of its buckets'
+    centres in one common order, which is linear in the buckets. Then every two members of a bucket that are still in
+    different classes are compared, pair by pair in small buckets and block by block in large ones.
     """
     spark = docs.sparkSession
     rows, _ = common.kept(_keyed(docs).mapInArrow(_sketch, "doc_id long, key binary, bands binary"), "sketches")
@@ -207,33 +287,23 @@ def classes(docs: DataFrame) -> DataFrame:
     candidates = bands.select("key").distinct()
     sets, _ = common.kept(_multisets(docs, candidates), "multisets", "none")
     common.release(spark)
-    open_, found_roots, turn = bands.withColumn("root", F.col("key")), [], 0
-    while True:
-        # one order of all members a turn, so that the buckets of a group mostly have the same centre
-        centres = [F.min(F.struct(F.xxhash64("key", F.lit(turn * CENTRES + c)).alias("order"), "key", "root")) for c in range(CENTRES if turn else 1)]
-        # members of one random member's class wait: mostly that is the large class, and the others come to it
-        wait = F.min(F.struct(F.xxhash64("key", F.lit(-1 - turn)).alias("order"), "root")).alias("w")
-        centre = open_.groupBy("bucket", "bucket2").agg(F.array(*centres).alias("c"), wait, F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
-        members = open_.join(centre.select("bucket", "bucket2", "c", F.col("w.root").alias("wait")), ["bucket", "bucket2"])
-        pairs = members.filter("root <> wait") if turn else members
-        pairs = pairs.select(F.col("key").alias("u"), "root", F.explode("c").alias("c")).filter("root <> c.root")
-        if turn:
-            pairs = pairs.select("u", F.col("c.key").alias("v"), "root", F.col("c.root").alias("v_root")).distinct()
-        else:  # most of a group has one centre in common; only what it leaves apart is looked at further
-            pairs = pairs.groupBy("u", "root").agg(F.min("c").alias("c")).select("u", F.col("c.key").alias("v"), "root", F.col("c.root").alias("v_root"))
-        pairs, _ = common.kept(pairs, "pairs")
-        found, _ = common.kept(_verified(pairs, sets), "links")
-        if found.isEmpty():
-            if turn:
-                break
-            turn += 1
-            continue
-        roots = components(found).select(F.col("u").alias("root"), F.col("root").alias("new"))
-        roots, _ = common.kept(roots, "roots")
+    bucket, found_roots = ["bucket", "bucket2"], []
+    # one order of all members, so that the buckets of a group mostly have the same centre; only what that leaves apart is looked at further
+    centre = bands.groupBy(*bucket).agg(F.min(F.struct(F.xxhash64("key", F.lit(0)).alias("order"), "key")).alias("c"))
+    pairs = bands.join(centre, bucket).filter("key <> c.key").groupBy("key").agg(F.min("c").alias("c"))
+    pairs, _ = common.kept(pairs.select(F.col("key").alias("u"), F.col("c.key").alias("v"), F.col("key").alias("root"), F.col("c.key").alias("v_root")), "pairs")
+    open_ = bands.withColumn("root", F.col("key"))
+    for last in (False, True):
+        if last:
+            sizes, _ = common.kept(open_.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(*bucket, "n"), "sizes")
+            pairs, _ = common.kept(_listed(open_, sizes), "pairs")
+            found, _ = common.kept(_verified(pairs, sets).unionByName(_blocks(open_, sizes, sets)), "links")
+        else:
+            found, _ = common.kept(_verified(pairs, sets), "links")
+        roots, _ = common.kept(components(found).select(F.col("u").alias("root"), F.col("root").alias("new")), "roots")
         found_roots.append(roots)
-        joined = members.select("key", "bucket", "bucket2", "root").join(roots, "root", "left").select("key", "bucket", "bucket2", F.coalesce("new", "root").alias("root"))
-        open_, _ = common.kept(joined, "open")
-        turn += 1
+        if not last:
+            open_, _ = common.kept(open_.join(roots, "root", "left").select("key", *bucket, F.coalesce("new", "root").alias("root")), "open")
         common.release(spark)
     tagged = rows.withColumn("class_key", F.when(F.col("bands").isNotNull(), F.col("key")))
     for roots in found_roots:

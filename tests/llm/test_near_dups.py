@@ -81,6 +81,43 @@ def test_test_documents(spark):
     assert {r.doc_id: r.class_id for r in near_dups.classes(df).collect()} == {i: want[k] for k, (i, _) in enumerate(rows)}
 
 
+@pytest.mark.parametrize("block", [512, 40])
+def test_copies_that_only_their_original_links(spark, monkeypatch, block):
+    # each copy is 0.82 similar to the original and 0.69 to another copy
+    monkeypatch.setattr(near_dups, "BLOCK", block, raising=False)
+    rng, rows = random.Random(8), []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(220):
+            words = list(base)
+            for k in range(6):  # far enough apart to change five shingles each
+                words[k * 50 + rng.randrange(5, 45)] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame([(i, t, "k", 1, "s") for i, t in rows], SCHEMA).repartition(3)
+    assert Counter(r.class_id for r in near_dups.classes(df).collect()) == {0: 221, 221: 221, 442: 221}
+
+
+@pytest.mark.parametrize("left", [0, 7, 20])
+def test_links_are_those_of_all_compared_pairs(left):
+    rng, sets = random.Random(left), []
+    for _ in range(20):
+        base = sets[-1] if sets and rng.random() < 0.7 else rng.sample(range(10**6), 60)
+        sets.append(sorted({*base[rng.randrange(9) :], *rng.sample(range(10**6), 3)}))
+    left = left or 1
+    got = {tuple(sorted(x)) for x in near_dups.links([np.array(s, np.uint64) for s in sets], left).tolist()}
+    asked = [(i, j) for i in range(left) for j in (range(left, 20) if left < 20 else range(20)) if i != j]
+    want = {tuple(sorted((i, j))) for i, j in asked if len({*sets[i]} & {*sets[j]}) * 5 >= len({*sets[i]} | {*sets[j]}) * 4}
+
+    def groups(edges):
+        root = list(range(20))
+        for i, j in edges:
+            root = [root[i] if r == root[j] else r for r in root]
+        return sorted(sorted(k for k in range(20) if root[k] == r) for r in set(root))
+
+    assert got <= want and groups(got) == groups(want)
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", "", 0, "")] * 3 + [(1, "other words stand here in this one", "", 0, "")], SCHEMA)
     assert near_dups.classes(df).count() == 4 and near_dups.keep_one(df).count() == 2
