@@ -1,9 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Seeds of a test item are its word n-grams that are no more frequent in the corpus than the item's median one, so an
-item always has seeds, however often it leaked. A text that holds a seed is aligned with the item around the places
-the seeds point at. The score is the best local alignment (match 1, mismatch and gap -1) over the item's length: 1 for
-a verbatim copy, 1 - 2 e where a share e of the words is changed.
+A text that holds enough seeds of a test item is aligned with the item around the places the seeds point at. The score
+is the best local alignment (match 1, mismatch and gap -1) over the item's length: 1 for a verbatim copy, 1 - 2 e where
+a share e of the words is changed.
+
+Seeds are an item's word pairs but its most frequent ones. An alignment of score s has m matches and at most m - s
+edits, which cut the matches into at most m - s + 1 runs, so at least s - 1 word pairs of the item stand in the text as
+they are. Of these pairs' places about half may be left out as too frequent; the rest must be seeds that the text holds.
+No text at the threshold is lost by that, however often the item leaked and whether or not its other pairs occur.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -20,7 +24,7 @@ from .features import BATCH_BYTES, Words
 from .graphs import FILTER_BITS, key_filter, may_hold
 from .suffixes import _doc, _texts, _tie
 
-SEED, THRESHOLD = 3, 0.5
+SEED, THRESHOLD = 2, 0.5
 #: Items of fewer words are too short to be evidence.
 LEAST_WORDS = 5
 
@@ -41,10 +45,11 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
-def passages(diagonals: np.ndarray, length: int, n_words: int) -> list[tuple[int, int]]:
-    """Word ranges to align: around each text place where seeds would make the item begin, joined where they meet."""
+def passages(diagonals: np.ndarray, length: int, n_words: int, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Word ranges to align: around each text place where seeds would make the item begin, joined where they meet. An
+    alignment at the threshold has at most 1 - threshold of the item's length in gaps."""
     at = np.unique(diagonals)
-    margin = length // 2 + 2
+    margin = int(length * (1 - threshold)) + 2
     low, high = np.maximum(at - margin, 0), np.minimum(at + length + margin, n_words)
     new = np.concatenate([[True], low[1:] > np.maximum.accumulate(high)[:-1]])
     head = np.flatnonzero(new)
@@ -107,11 +112,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                 yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(h[hit].view(np.int64)), pa.array(hit - w.first[row])], ["doc", "tie", "gram", "at"])
 
     hits, _ = common.kept(texts.mapInArrow(match, "doc long, tie long, gram long, at long"), "gram-hits")
-    counts = grams.select("gram").distinct().join(hits.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").na.fill(0, ["n"])
-    ranked = grams.join(counts, "gram")
-    median = ranked.groupBy("item_id").agg(F.percentile_approx("n", 0.5, 10_000).alias("median"))  # bounded by the item's length
-    seeds = ranked.join(median, "item_id").filter("n <= median").select("gram", "item_id", F.col("at").alias("item_at"))
-    found = hits.join(seeds, "gram").groupBy("doc", "tie", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))  # bounded by the text's length
+    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = grams.join(counts, "gram", "left").na.fill(0, ["n"])
+    # of an item's pairs that every text at the threshold holds, the first half may be left out; the others are needed
+    shared = F.greatest(F.ceil(F.col("length") * threshold - 1e-9) - 1, F.lit(1))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "gram", "at")))  # bounded by the item's length
+    ranked = ranked.withColumn("out", F.floor(shared / 2)).withColumn("need", shared - F.col("out"))
+    seeds = ranked.filter("rank > out AND n > 0").select("gram", "item_id", F.col("at").alias("item_at"), "need")
+    found = hits.join(seeds, "gram").groupBy("doc", "tie", "item_id", "need").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"), F.countDistinct("item_at").alias("held"))  # bounded by the text's length
+    found = found.filter("held >= need").select("doc", "tie", "item_id", "diagonals")
     found, _ = common.kept(found, "candidates")
     near = found.select("doc", "tie").distinct()
     bits = [F.pmod(F.xxhash64("doc", "tie", F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)]
@@ -133,7 +142,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
             out = []
             for item, passage, diagonals in zip(batch.column(3), batch.column(4), batch.column(5)):
                 a, b = np.frombuffer(item.as_py(), np.uint64), np.frombuffer(passage.as_py(), np.uint64)
-                best = max(align(a, b[x:y]) for x, y in passages(np.array(diagonals.as_py(), np.int64), len(a), len(b)))
+                best = max(align(a, b[x:y]) for x, y in passages(np.array(diagonals.as_py(), np.int64), len(a), len(b), threshold))
                 out.append(best / len(a))
             yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.float64())], ["doc", "tie", "item_id", "score"])
 

@@ -62,3 +62,25 @@ def test_leaks_are_those_of_full_alignment(spark):
     clean = decontaminate.keep_clean(df, bench)
     assert clean.columns == df.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r.doc_id) for r in got if not r.contaminated)
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0 and decontaminate.contamination(df.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["substituted", "inserted"])
+def test_single_edited_copies_are_found(spark, kind):
+    rng, rows, items, want = random.Random(9), [], [], set()
+    for i in range(120):
+        n = rng.choice([20, 40, 60])
+        items.append([f"w{rng.randrange(10**6)}" for _ in range(n)])
+        words, edits = list(items[-1]), rng.choice([n // 5, n // 4])
+        if kind == "substituted":
+            for k in rng.sample(range(n), edits):
+                words[k] = f"x{rng.randrange(10**6)}"
+        else:
+            for k in sorted(rng.sample(range(1, n), edits), reverse=True):
+                words.insert(k, f"x{rng.randrange(10**6)}")
+        # the corpus holds one copy of each item
+        rows.append((i, " ".join([f"y{rng.randrange(10**6)}" for _ in range(30)] + words), "", "", 0))
+        if plain(items[-1], words) >= 0.5 * n:
+            want.add((i, i))
+    df, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(df, bench).collect() if r.contaminated}
+    assert len(want) > 100 and got == want
