@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +40,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def key_filter(keys: DataFrame, column: str, bits: list[Column] | None = None) -> np.ndarray:
-    """A Bloom filter of keys as 64-bit words, two bits a key, put together by bit_or; at most FILTER_BITS bits reach the driver."""
+    """A Bloom filter of keys as 64-bit words, two bits a key, put together by bit_or. Each task packs its words into one
+    value; together they are at most FILTER_BITS bits and their places."""
     bits = bits or [F.pmod(F.xxhash64(column, F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)]
-    rows = keys.select(F.explode(F.array(*bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toPandas()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([np.asarray(c, np.int64).tobytes()], pa.binary()) for c in batch.columns], ["words", "bits"])
+
+    rows = keys.select(F.explode(F.array(*bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
     words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[rows.word.to_numpy(np.int64)] = rows.bits.to_numpy(np.int64)
+    for row in rows.mapInArrow(pack, "words binary, bits binary").collect():
+        words[np.frombuffer(row.words, np.int64)] = np.frombuffer(row.bits, np.int64)
     return words.view(np.uint64)
 
 

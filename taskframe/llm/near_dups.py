@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,14 +25,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 20 bands of 5: a pair at similarity 0.8 shares a band with probability 0.9996.
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
-#: Most candidate pairs that are sent to all executors; more are dealt out with the multisets.
-BROADCAST_PAIRS = 100_000
-#: Members of a bucket whose pairs are listed one by one; those of larger buckets are compared in blocks.
-LISTED = 32
-#: Members of a block, and bytes of its packed multisets: both about, as members are dealt by a hash.
-BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Members of a block, and bytes of its texts: both about, as members of larger buckets are dealt by a hash.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Members compared with one copy of a bucket's centre, so that no group grows with the bucket.
 GROUP = 256
+#: Sets of which all pairs are looked at one by one, and bytes of multisets that a task keeps for their next group.
+FEW, CACHE_BYTES = 12, 64 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -107,7 +105,11 @@ def _runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16).alias("key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(text).alias("key"), text.alias("text"))
+
+
+def _key(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,28 +117,29 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(whole, 2):
             row, element, count = shingles(batch.column(2))
             n = batch.num_rows
-            points = signatures(row, element, count, n)
+            keys = band_keys(signatures(row, element, count, n)).view(np.int64)
             some = np.bincount(row, minlength=n) > 0
-            keys = band_keys(points)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([k.tobytes() if s else None for k, s in zip(keys, some)], pa.binary())], ["doc_id", "key", "bands"])
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel()), mask=pa.array(~some))
+            yield pa.record_batch([batch.column(0), batch.column(1), bands], ["doc_id", "key", "bands"])
 
 
-def _expanded(texts: pa.Array) -> list[bytes]:
+def _expanded(texts: pa.Array) -> list[np.ndarray]:
     """Each text's multiset as a sorted array: the k-th occurrence of a shingle is an element of its own."""
     row, element, count = shingles(texts)
     which = np.repeat(np.arange(len(row)), count)
     nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
     value = common.mix64(element[which] * _STEP + nth.astype(np.uint64) * _LEVEL)
     ends = np.searchsorted(row[which], np.arange(len(texts) + 1))
-    return [np.sort(value[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    return [np.sort(value[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _multisets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, multiset) of the texts with given distinct keys. A bounded key filter keeps other texts out of the shuffle."""
-    words = docs.sparkSession.sparkContext.broadcast(key_filter(keys, "key"))
+def _packed(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, str]:
+    """(key, size, packed) of the texts with given distinct keys, compressed. A bounded key filter keeps other texts out
+    of the shuffle."""
+    words = docs.sparkSession.sparkContext.broadcast(key_filter(keys, "key"))  # of fixed size
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, seen = zstandard.ZstdCompressor(level=1), set()
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_, seen = zstandard.ZstdCompressor(level=3), set()
         for whole in batches:
             hit = may_hold(words.value, *(np.asarray(whole.column(c)) for c in (2, 3)))
             key = whole.column(0).to_pylist()
@@ -147,40 +150,78 @@ def _multisets(docs: DataFrame, keys: DataFrame) -> DataFrame:
                         seen.add(key[i])
                     take.append(i)
             for batch in _runs(whole.take(pa.array(take, pa.int64())), 1):
-                yield pa.record_batch([batch.column(0), pa.array([press.compress(x) for x in _expanded(batch.column(1))], pa.binary())], ["key", "multiset"])
-
-    near = _keyed(docs).select("key", "text", *filter_bits("key")).mapInArrow(expand, "key binary, multiset binary")
-    return near.join(keys, "key", "left_semi").groupBy("key").agg(F.min("multiset").alias("multiset"))
+                raw = [t.encode() for t in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array([zip_.compress(t) for t in raw], pa.binary())], ["key", "size", "packed"])
+
+    near = _keyed(docs).select("key", "text", *filter_bits("key")).mapInArrow(press, "key binary, size long, packed binary")
+    kept = common.kept(near.join(keys, "key", "left_semi").groupBy("key").agg(F.min("size").alias("size"), F.min("packed").alias("packed")), "packed", "none")
+    words.destroy()
+    return kept
+
+
+class _Sets:
+    """Multisets of compressed texts; a bounded number of them stays for the next batch."""
+
+    def __init__(self) -> None:
+        self.press, self.held, self.size = zstandard.ZstdDecompressor(), {}, 0
+
+    def of(self, keys: list[bytes], packed: pa.Array) -> list[np.ndarray]:
+        if self.size > CACHE_BYTES:
+            self.held, self.size = {}, 0
+        new, out = {}, dict.fromkeys(keys)
+        for i, key in enumerate(keys):
+            if key in self.held:
+                out[key] = self.held[key]
+            else:
+                new[key] = i
+        names, texts, size = [], [], 0
+        for n, (key, i) in enumerate(new.items(), 1):
+            names.append(key)
+            texts.append(self.press.decompress(packed[i].as_py()))
+            size += len(texts[-1])
+            if size > BATCH_BYTES or len(texts) == 4096 or n == len(new):
+                out.update(zip(names, _expanded(pa.array(texts, pa.binary()).cast(pa.string()))))
+                names, texts, size = [], [], 0
+        for key in new:
+            self.held[key] = out[key]
+            self.size += out[key].nbytes
+        return [out[key] for key in keys]
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sorted sets."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    return int((a[np.minimum(at, len(a) - 1)] == b).sum()) if len(b) else 0
+
+
+def _near(both: float | np.ndarray, a: int | np.ndarray, b: int | np.ndarray) -> bool | np.ndarray:
+    return both >= SIMILARITY * (a + b - both) - 1e-9
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): the roots of the pairs (u, v, root, v_root) of similarity SIMILARITY or more. Members meet copies of
-    their centre v in groups of about GROUP. Multisets go to the pairs, or, where those are few, pairs to the multisets."""
-    few = pairs.count() <= BROADCAST_PAIRS
-    small = F.broadcast if few else lambda df: df  # checked: at most about 100 bytes a pair
+    """The pairs (u, v) of similarity SIMILARITY or more. Members meet copies of their centre v in groups of about GROUP."""
     size = pairs.groupBy("v").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    member = pairs.join(small(size), "v").select(F.col("u").alias("key"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("order"), "root", "v_root")
-    none = F.lit(None).cast("binary")
-    centre = size.select(F.col("v").alias("key"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("order"), none.alias("root"), none.alias("v_root"))
+    member = pairs.join(size, "v").select(F.col("u").alias("key"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
+    centre = size.select(F.col("v").alias("key"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, centre, of = zstandard.ZstdDecompressor(), None, None
-        for batch in batches:
-            us, vs = [], []
-            for v, part, order, root, v_root, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(press.decompress(packed), np.uint64)
-                if not order:
-                    centre, of = own, (v, part)
-                elif of == (v, part):
-                    at = np.searchsorted(centre, own)
-                    both = int((centre[np.minimum(at, len(centre) - 1)] == own).sum()) if len(centre) else 0
-                    if both >= SIMILARITY * (len(own) + len(centre) - both) - 1e-9:
-                        us.append(root)
-                        vs.append(v_root)
-            yield pa.record_batch([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
-
-    rows = sets.join(small(member.unionByName(centre)), "key").select("v", "part", "order", "root", "v_root", "multiset")
-    rows = rows.repartition(common.shuffle_partitions(pairs.sparkSession), "v", "part").sortWithinPartitions("v", "part", "order")
+        sets_, centre, of = _Sets(), None, None
+        for whole in batches:
+            for batch in common.slices(whole, 3, BATCH_BYTES):
+                us, vs = [], []
+                key, v, part = (batch.column(c).to_pylist() for c in (0, 1, 2))
+                for k, c, p, own in zip(key, v, part, sets_.of(key, batch.column(3))):
+                    if k == c:
+                        centre, of = own, (c, p)
+                    elif of == (c, p) and _near(_shared(centre, own), len(centre), len(own)):
+                        us.append(k)
+                        vs.append(c)
+                yield pa.record_batch([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+
+    rows = member.unionByName(centre).join(sets, "key").select("key", "v", "part", "packed")
+    rows = rows.repartition(common.shuffle_partitions(pairs.sparkSession), "v", "part").sortWithinPartitions("v", "part", F.col("key") != F.col("v"))
     return rows.mapInArrow(compare, "u binary, v binary")
 
 
@@ -188,6 +229,14 @@ def links(values: list[np.ndarray], left: int) -> np.ndarray:
     """Rows (i, j) that join all sets (sorted distinct 64-bit elements) linked by a similarity of SIMILARITY or more:
     a spanning forest. The first `left` sets are compared with the others, or with each other if there are no others."""
     size, n = np.array([len(v) for v in values]), len(values)
+    if n <= FEW:
+        root, out = list(range(n)), []
+        for i in range(left):
+            for j in range(left if left < n else i + 1, n):
+                if root[i] != root[j] and min(size[i], size[j]) >= SIMILARITY * max(size[i], size[j]) and _near(_shared(values[i], values[j]), size[i], size[j]):
+                    root = [root[i] if r == root[j] else r for r in root]
+                    out.append((i, j))
+        return np.array(out, np.int64).reshape(-1, 2)
     own, element = np.repeat(np.arange(n), size), np.concatenate(values)
     _, element, count = np.unique(element, return_inverse=True, return_counts=True)
     often = np.cumsum(count > 1) - 1
@@ -202,7 +251,7 @@ def links(values: list[np.ndarray], left: int) -> np.ndarray:
         holds[own[a:b], element[a:b] - at] = 1
         both += holds[:left] @ holds[right].T
     near = np.zeros((n, n), bool)
-    near[:left, right] = both >= SIMILARITY * (size[:left, None] + size[None, right] - both.astype(np.float64)) - 1e-9
+    near[:left, right] = _near(both.astype(np.float64), size[:left, None], size[None, right])
     near |= near.T
     todo, out = np.ones(n, bool), []
     for start in range(n):
@@ -217,118 +266,115 @@ def links(values: list[np.ndarray], left: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _listed(open_: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(u, v, root, v_root): all pairs of different classes in the buckets of at most LISTED members."""
-    members = open_.join(sizes.filter(F.col("n") <= LISTED).select("bucket", "bucket2"), ["bucket", "bucket2"])
-    lists = members.groupBy("bucket", "bucket2").agg(F.collect_list(F.struct("key", "root")).alias("all")).select("all", F.explode("all").alias("m"))
-    pairs = lists.select("m", F.explode(F.filter("all", lambda x: (x["key"] > F.col("m.key")) & (x["root"] != F.col("m.root")))).alias("o"))
-    return pairs.select(F.col("m.key").alias("u"), F.col("o.key").alias("v"), F.col("m.root").alias("root"), F.col("o.root").alias("v_root")).distinct()
-
-
-def _blocks(open_: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): roots of different classes that a pair of similarity SIMILARITY or more joins, from all pairs of the
-    buckets of more than LISTED members. Members are dealt to blocks, those of the bucket's largest class to blocks of
-    their own, and every two blocks meet but two of the largest class."""
-    bucket = ["bucket", "bucket2"]
-    members = open_.join(sizes.filter(F.col("n") > LISTED).select(*bucket), bucket).join(sets.select("key", F.octet_length("multiset").cast("long").alias("bytes")), "key")
-    by_class = members.groupBy(*bucket, "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    main = by_class.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+def _open(members: DataFrame, roots: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
+    """(bucket, key, root, size, low, high, side): what is still to be compared. Of the buckets whose members stand in
+    different classes, those with the same members count once. A bucket of more than one block is dealt to blocks, the
+    members of its largest class to blocks of their own, and every two blocks meet but two of the largest class."""
+    members = members.join(roots.select(F.col("u").alias("key"), "root"), "key", "left").join(sets.select("key", "size"), "key").select("bucket", "key", F.coalesce("root", "key").alias("root"), "size")
+    members, _ = common.kept(members, "members")
+    mark = [F.bit_xor(F.xxhash64("key", F.lit(s))).alias(f"mark{s}") for s in (1, 2)]  # of the set of members
+    of = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("a"), F.max("root").alias("b"), *mark).filter("a <> b")
+    of, _ = common.kept(of.groupBy("n", "mark1", "mark2").agg(F.min("bucket").alias("bucket"), F.min("bytes").alias("bytes")).select("bucket", "n", "bytes"), "open")
     parts = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("int")
-    main = main.select(*bucket, "main", parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rest"), parts(F.col("top.n"), F.col("top.bytes")).alias("more"))
+    one = of.filter(parts(F.col("n"), F.col("bytes")) == 1).select("bucket")
+    zero = F.lit(0)
+    small = members.join(one, "bucket", "left_semi").select("bucket", "key", "root", zero.alias("low"), zero.alias("high"), zero.alias("side"))
+    large = members.join(of.filter(parts(F.col("n"), F.col("bytes")) > 1).select("bucket"), "bucket", "left_semi")
+    by_class = large.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    main = by_class.groupBy("bucket").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    main = main.select("bucket", F.col("top.root").alias("main"), parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rest"), parts(F.col("top.n"), F.col("top.bytes")).alias("more"))
     inside = F.col("root") == F.col("main")
-    dealt = members.join(main, bucket).withColumn("own", F.when(inside, F.col("rest") + F.pmod(F.xxhash64("key"), F.col("more"))).otherwise(F.pmod(F.xxhash64("key"), F.col("rest"))).cast("int"))
+    dealt = large.join(main, "bucket").withColumn("own", F.when(inside, F.col("rest") + F.pmod(F.xxhash64("key"), F.col("more"))).otherwise(F.pmod(F.xxhash64("key"), F.col("rest"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("more") - 1))))
-    dealt = dealt.select("key", *bucket, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "root")
+    dealt = dealt.select("bucket", "key", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return common.kept(small.unionByName(dealt), "blocks")
+
+
+def _joined(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): classes of the blocks that a pair of similarity SIMILARITY or more joins, if not through others."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, of, left, roots, values = zstandard.ZstdDecompressor(), None, 0, [], []
-
-        def joined() -> pa.RecordBatch:
-            found = {(roots[i], roots[j]) for i, j in links(values, left).tolist() if roots[i] != roots[j]} if left and (left < len(roots) or of[2] == of[3]) else ()
-            return pa.record_batch([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
-
-        for batch in batches:
-            for *group, side, root, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if group != of:
-                    if of:
-                        yield joined()
-                    of, left, roots, values = group, 0, [], []
-                left += not side
-                roots.append(root)
-                values.append(np.frombuffer(press.decompress(packed), np.uint64))
+        sets_, of, left, roots, values = _Sets(), None, 0, [], []
+
+        def joined() -> set[tuple[bytes, bytes]]:
+            if left == 0 or left == len(roots) and of[1] != of[2]:
+                return set()  # the other block is empty
+            return {(roots[i], roots[j]) for i, j in links(values, left).tolist() if roots[i] != roots[j]}
+
+        for whole in batches:
+            for batch in common.slices(whole, 6, BATCH_BYTES):
+                found = set()
+                *group, root, key = (batch.column(c).to_pylist() for c in range(6))
+                for bucket, low, high, side, r, own in zip(*group, root, sets_.of(key, batch.column(6))):
+                    if (bucket, low, high) != of:
+                        if of:
+                            found |= joined()
+                        of, left, roots, values = (bucket, low, high), 0, [], []
+                    left += not side
+                    roots.append(r)
+                    values.append(own)
+                yield pa.record_batch([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
         if of:
-            yield joined()
+            found = joined()
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
 
-    rows = dealt.join(sets.select("key", "multiset"), "key").select(*bucket, "low", "high", "side", "root", "multiset")
-    rows = rows.repartition(common.shuffle_partitions(open_.sparkSession), *bucket, "low", "high").sortWithinPartitions(*bucket, "low", "high", "side")
-    return rows.mapInArrow(compare, "u binary, v binary").distinct()
+    group = ["bucket", "low", "high"]
+    rows = blocks.join(sets.select("key", "packed"), "key").select(*group, "side", "root", "key", "packed")
+    rows = rows.repartition(common.shuffle_partitions(blocks.sparkSession), *group).sortWithinPartitions(*group, "side")
+    return rows.mapInArrow(compare, "u binary, v binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, class_id, class_key, keeper) of every row: rows whose texts are linked, directly or through others,
-    by a weighted Jaccard similarity of word 5-gram multisets of 0.8 or more share a class.
+    """(doc_id, key, class_id, class_key, keeper, class_size) of every row: rows whose texts are linked, directly or
+    through others, by a weighted Jaccard similarity of word 5-gram multisets of 0.8 or more share a class.
 
     class_id is the class's smallest doc_id (null if it has none), class_key its smallest text digest. `keeper` marks
     exactly the rows with the class's smallest (doc_id, digest), nulls last. Exact copies are one node. A text without
     words (null, empty, punctuation) is similar to nothing: it is a class by itself, with a null class_key and class_id
     = doc_id. Rows with one doc_id but different texts are different nodes. An empty table gives no rows.
 
-    Candidates: every two members of a bucket of a band. First each member is compared with the first of its buckets'
-    centres in one common order, which is linear in the buckets. Then every two members of a bucket that are still in
-    different classes are compared, pair by pair in small buckets and block by block in large ones.
+    Candidates: every two members of a bucket of a band. A bucket's centre is the member that meets most others in all
+    its buckets; each member is compared with the best of its buckets' centres. Every two members of a bucket that this
+    leaves in different classes are then compared, in blocks. Nothing is left out.
     """
     spark = docs.sparkSession
-    rows, _ = common.kept(_keyed(docs).mapInArrow(_sketch, "doc_id long, key binary, bands binary"), "sketches")
+    rows, _ = common.kept(_keyed(docs).mapInArrow(_sketch, "doc_id long, key binary, bands array<long>"), "sketches")
     nodes = rows.filter("bands IS NOT NULL").groupBy("key").agg(F.min("bands").alias("bands"))
-    bands = nodes.select("key", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "bands").select("key", F.xxhash64("band", F.substring("bands", F.col("band") * 8 + 1, F.lit(8))).alias("bucket"), F.xxhash64(F.substring("bands", F.col("band") * 8 + 1, F.lit(8)), "band", F.lit(1)).alias("bucket2"))
-    shared = bands.groupBy("bucket", "bucket2").agg(F.count("*").alias("n"), F.min("key").alias("low")).filter("n > 1").select("bucket", "bucket2")
-    bands, _ = common.kept(bands.join(shared, ["bucket", "bucket2"]).select("key", "bucket", "bucket2"), "buckets")
+    members = nodes.select("key", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members, _ = common.kept(members.join(shared, "bucket"), "buckets")
     common.release(spark)
-    candidates = bands.select("key").distinct()
-    sets, _ = common.kept(_multisets(docs, candidates), "multisets", "none")
+    sets, _ = _packed(docs, members.select("key").distinct())
+    weight = members.groupBy("key").agg(F.sum("n").alias("weight"))
+    centre = members.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("c"))
+    pairs = members.join(centre, "bucket").groupBy("key").agg(F.max("c").alias("c")).filter("key <> c.key")
+    pairs, _ = common.kept(pairs.select(F.col("key").alias("u"), F.col("c.key").alias("v")), "pairs")
     common.release(spark)
-    bucket, found_roots = ["bucket", "bucket2"], []
-    # one order of all members, so that the buckets of a group mostly have the same centre; only what that leaves apart is looked at further
-    centre = bands.groupBy(*bucket).agg(F.min(F.struct(F.xxhash64("key", F.lit(0)).alias("order"), "key")).alias("c"))
-    pairs = bands.join(centre, bucket).filter("key <> c.key").groupBy("key").agg(F.min("c").alias("c"))
-    pairs, _ = common.kept(pairs.select(F.col("key").alias("u"), F.col("c.key").alias("v"), F.col("key").alias("root"), F.col("c.key").alias("v_root")), "pairs")
-    open_ = bands.withColumn("root", F.col("key"))
-    for last in (False, True):
-        if last:
-            sizes, _ = common.kept(open_.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(*bucket, "n"), "sizes")
-            pairs, _ = common.kept(_listed(open_, sizes), "pairs")
-            found, _ = common.kept(_verified(pairs, sets).unionByName(_blocks(open_, sizes, sets)), "links")
-        else:
-            found, _ = common.kept(_verified(pairs, sets), "links")
-        roots, _ = common.kept(components(found).select(F.col("u").alias("root"), F.col("root").alias("new")), "roots")
-        found_roots.append(roots)
-        if not last:
-            open_, _ = common.kept(open_.join(roots, "root", "left").select("key", *bucket, F.coalesce("new", "root").alias("root")), "open")
-        common.release(spark)
-    tagged = rows.withColumn("class_key", F.when(F.col("bands").isNotNull(), F.col("key")))
-    for roots in found_roots:
-        tagged = tagged.join(roots.withColumnRenamed("root", "class_key"), "class_key", "left").withColumn("class_key", F.coalesce("new", "class_key")).drop("new")
-    tagged = tagged.select("doc_id", "key", "class_key")
-    # a text without words has no class_key: it meets no other row
-    best = tagged.filter("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"), F.count("*").alias("n"))
-    out = tagged.filter("class_key IS NOT NULL").join(best, "class_key").select("doc_id", "key", F.col("best.doc_id").alias("class_id"), "class_key", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))).alias("keeper"), F.col("n").alias("class_size"))
-    alone = tagged.filter("class_key IS NULL").select("doc_id", "key", F.col("doc_id").alias("class_id"), "class_key", F.lit(True).alias("keeper"), F.lit(1).cast("long").alias("class_size"))
+    roots, _ = common.kept(components(_verified(pairs, sets)), "roots")
+    common.release(spark)
+    blocks, _ = _open(members.select("bucket", "key"), roots, sets)
+    roots, _ = common.kept(components(_joined(blocks, sets).unionByName(roots.select("u", F.col("root").alias("v")))), "roots")
+    common.release(spark)
+    some = rows.filter("bands IS NOT NULL").select("doc_id", "key").join(roots.withColumnRenamed("u", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("class_key"))
+    best = some.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"), F.count("*").alias("n"))
+    out = some.join(best, "class_key").select("doc_id", "key", F.col("best.doc_id").alias("class_id"), "class_key", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))).alias("keeper"), F.col("n").alias("class_size"))
+    # a text without words meets no other row
+    alone = rows.filter("bands IS NULL").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("class_key"), F.lit(True).alias("keeper"), F.lit(1).cast("long").alias("class_size"))
     return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each class one row with its smallest doc_id stays.
-    Rows whose text has no words stay. Of several rows with one doc_id and one text, one stays."""
+    Rows whose text has no words stay. Of several rows with one doc_id and one text, one stays. The row travels as one
+    struct, so that no column of docs can clash with the operator's own."""
     spark = docs.sparkSession
-    found, _ = common.kept(classes(docs).select("doc_id", "key", "keeper", "class_key", "class_size"), "classes")
+    found, _ = common.kept(classes(docs).select("doc_id", "key", "keeper", "class_size"), "classes")
     # a row that meets no other stays; of the rest, only the keepers, once each
-    crowded = found.filter("class_size > 1").groupBy("doc_id", "key").agg(F.max("keeper").alias("keeper"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.withColumn("_key", F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16))
-    crowded = crowded.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key2"), "keeper")
-    joined = tagged.join(crowded, (F.col("_key") == F.col("_key2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    alone = joined.filter("_key2 IS NULL").select(*docs.columns)
-    once = joined.filter("keeper").dropDuplicates(["_key"]).select(*docs.columns)
+    crowded = found.filter("class_size > 1").groupBy(F.col("doc_id").alias("id"), F.col("key").alias("digest")).agg(F.max("keeper").alias("keeper"))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), _key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_digest"))
+    joined = tagged.join(crowded, (F.col("own_digest") == F.col("digest")) & F.col("own_id").eqNullSafe(F.col("id")), "left")
+    alone = joined.filter("digest IS NULL").select("row.*")
+    once = joined.filter("keeper").dropDuplicates(["digest"]).select("row.*")
     common.release(spark)
     return alone.unionByName(once)
 
