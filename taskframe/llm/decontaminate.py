@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from .graphs import FILTER_BITS, key_filter, may_hold
 from .suffixes import _doc, _texts, _tie
 
 SEED, THRESHOLD = 2, 0.5
-#: Items of fewer words are too short to be evidence.
+#: Items of fewer words are too short to be evidence inside a text: they match a text that has the same words and no others.
 LEAST_WORDS = 5
 
 
@@ -45,6 +46,19 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
+def diagonals(at: np.ndarray, n: np.ndarray, item_at: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Distinct text places at which seeds would make the item begin: seed k stands at the next n[k] places `at` of the
+    text and the next m[k] places `item_at` of the item. Grows by the text's length for each place of a repeated seed."""
+    out, ends, item_ends = np.zeros(0, np.int64), np.cumsum(n), np.cumsum(m)
+    once = np.repeat(m == 1, n)
+    if once.any():
+        out = np.unique(at[once] - np.repeat(item_at[item_ends - m], n)[once])
+    for k in np.flatnonzero(m > 1):
+        for place in item_at[item_ends[k] - m[k] : item_ends[k]]:
+            out = np.union1d(out, at[ends[k] - n[k] : ends[k]] - place)
+    return out
+
+
 def passages(diagonals: np.ndarray, length: int, n_words: int, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Word ranges to align: around each text place where seeds would make the item begin, joined where they meet. An
     alignment at the threshold has at most 1 - threshold of the item's length in gaps."""
@@ -58,6 +72,8 @@ def passages(diagonals: np.ndarray, length: int, n_words: int, threshold: float
 
 
 def _item_words(benchmark: DataFrame) -> DataFrame:
+    """(item, words, item_id, copies): items of the same words are one. `item` is their digest, item_id the smallest id."""
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, 1, BATCH_BYTES):
@@ -66,7 +82,8 @@ def _item_words(benchmark: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], ["item_id", "words"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return items.mapInArrow(split, "item_id long, words binary").filter(F.octet_length("words") >= 8 * LEAST_WORDS)
+    words = items.mapInArrow(split, "item_id long, words binary").filter(F.octet_length("words") > 0)
+    return words.groupBy("words").agg(F.min("item_id").alias("item_id"), F.greatest(F.countDistinct("item_id"), F.lit(1)).alias("copies")).withColumn("item", _tie(F.sha2("words", 256)))
 
 
 def _grams(words: np.ndarray) -> np.ndarray:
@@ -82,46 +99,84 @@ def _item_grams(items: DataFrame) -> DataFrame:
             grams = [_grams(np.frombuffer(w.as_py(), np.uint64)) for w in batch.column(1)]
             n = np.array([len(g) for g in grams], np.int64)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate([*grams, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(at), pa.array(np.repeat(n + SEED - 1, n))], ["item_id", "gram", "at", "length"])
+            yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate([*grams, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(at), pa.array(np.repeat(n + SEED - 1, n))], ["item", "gram", "at", "length"])
+
+    return items.mapInArrow(cut, "item long, gram long, at long, length long")
+
+
+def _gram_filter(grams: DataFrame) -> Broadcast:
+    """A filter of fixed size, broadcast."""
+    bits = [F.col("gram").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("gram", 32).bitwiseAND(FILTER_BITS - 1)]
+    return grams.sparkSession.sparkContext.broadcast(key_filter(grams.select("gram").distinct(), "gram", bits))
+
 
-    return items.mapInArrow(cut, "item_id long, gram long, at long, length long")
+def _hits(texts: pa.Array, words: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, gram, row, place of its first word in the row's text) of the grams in texts that the filter may hold."""
+    mask = np.uint64(FILTER_BITS - 1)
+    w = Words(texts)
+    h = _grams(w.hash)
+    hit = np.flatnonzero(may_hold(words, (h & mask).astype(np.int64), (h >> np.uint64(32) & mask).astype(np.int64)))
+    hit = hit[w.doc[hit] == w.doc[hit + SEED - 1]]
+    row = w.doc[hit]
+    return w, h[hit].view(np.int64), row, hit - w.first[row]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc, tie, item_id, score) of every text and item whose alignment reaches the threshold.
+    """(doc, tie, item_id, copies, score) of every text and item whose alignment reaches the threshold. Items of the same
+    words are one: item_id is their smallest id, copies their number.
 
-    Test grams reach the texts as a filter of fixed size, the matches meet the items in a join, so neither table has to
-    be small. Null texts are empty. Items of fewer than LEAST_WORDS words and null item texts take no part.
+    Test grams reach the texts as filters of fixed size, matches meet the items in a join, so neither table has to be
+    small. A first pass only counts the grams in its tasks; a second one sends the seeds' places, a row for each text and
+    gram. Null texts are empty. Items without words take no part; null item_ids stay null. An item of fewer than LEAST_WORDS words matches, with
+    score 1, the texts that consist of its words.
     """
     spark = docs.sparkSession
     texts = _texts(docs)
-    items, _ = common.kept(_item_words(benchmark), "items")
-    grams, _ = common.kept(_item_grams(items), "item-grams")
-    gram_filter = spark.sparkContext.broadcast(key_filter(grams.select("gram").distinct(), "gram", [F.col("gram").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("gram", 32).bitwiseAND(FILTER_BITS - 1)]))  # of fixed size
+    every, _ = common.kept(_item_words(benchmark), "items")
+    items = every.filter(F.octet_length("words") >= 8 * LEAST_WORDS)
+    grams, _ = common.kept(_item_grams(items.select("item", "words")), "item-grams")
+    item_filter = _gram_filter(grams)
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64(FILTER_BITS - 1)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, 2, BATCH_BYTES):
-                w = Words(batch.column(2))
-                h = _grams(w.hash)
-                hit = np.flatnonzero(may_hold(gram_filter.value, (h & mask).astype(np.int64), (h >> np.uint64(32) & mask).astype(np.int64)))
-                hit = hit[w.doc[hit] == w.doc[hit + SEED - 1]]
-                row = w.doc[hit]
-                take = pa.array(row)
-                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(h[hit].view(np.int64)), pa.array(hit - w.first[row])], ["doc", "tie", "gram", "at"])
-
-    hits, _ = common.kept(texts.mapInArrow(match, "doc long, tie long, gram long, at long"), "gram-hits")
-    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
+                w, h, _, _ = _hits(batch.column(2), item_filter.value)
+                gram, n = np.unique(h, return_counts=True)
+                size = np.diff(w.first)
+                few = np.flatnonzero((size > 0) & (size < LEAST_WORDS))
+                packed = [w.hash[w.first[i] : w.first[i + 1]].tobytes() for i in few]
+                take = pa.array(np.concatenate([np.full(len(gram), -1), few]))
+                take = pa.array(np.asarray(take), mask=np.asarray(take) < 0)
+                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array([None] * len(gram) + packed, pa.binary()), pa.array([*gram.tolist(), *[None] * len(few)], pa.int64()), pa.array([*n.tolist(), *[None] * len(few)], pa.int64())], ["doc", "tie", "words", "gram", "n"])
+
+    counted, _ = common.kept(texts.mapInArrow(count, "doc long, tie long, words binary, gram long, n long"), "gram-counts")
+    item_filter.destroy()
+    counts = counted.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
     ranked = grams.join(counts, "gram", "left").na.fill(0, ["n"])
     # of an item's pairs that every text at the threshold holds, the first half may be left out; the others are needed
     shared = F.greatest(F.ceil(F.col("length") * threshold - 1e-9) - 1, F.lit(1))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "gram", "at")))  # bounded by the item's length
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("n"), "gram", "at")))  # bounded by the item's length
     ranked = ranked.withColumn("out", F.floor(shared / 2)).withColumn("need", shared - F.col("out"))
-    seeds = ranked.filter("rank > out AND n > 0").select("gram", "item_id", F.col("at").alias("item_at"), "need")
-    found = hits.join(seeds, "gram").groupBy("doc", "tie", "item_id", "need").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"), F.countDistinct("item_at").alias("held"))  # bounded by the text's length
-    found = found.filter("held >= need").select("doc", "tie", "item_id", "diagonals")
-    found, _ = common.kept(found, "candidates")
+    seeds = ranked.filter("rank > out AND n > 0").groupBy("gram", "item", "need").agg(F.collect_list("at").alias("item_at"))
+    seeds, _ = common.kept(seeds, "seeds")
+    seed_filter = _gram_filter(seeds)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.slices(whole, 2, BATCH_BYTES):
+                _, h, row, at = _hits(batch.column(2), seed_filter.value)
+                by = np.lexsort((at, h, row))
+                h, row, at = h[by], row[by], at[by]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+                take = pa.array(row[first])
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(at))
+                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(h[first]), places], ["doc", "tie", "gram", "at"])
+
+    hits = texts.mapInArrow(match, "doc long, tie long, gram long, at array<long>")
+    # a list of the text's distinct grams that the item has too
+    found = hits.join(seeds, "gram").groupBy("doc", "tie", "item", "need").agg(F.collect_list(F.struct("at", "item_at")).alias("places"), F.sum(F.size("item_at")).alias("held"))
+    found, _ = common.kept(found.filter("held >= need").select("doc", "tie", "item", "places"), "candidates")
+    seed_filter.destroy()
     near = found.select("doc", "tie").distinct()
     bits = [F.pmod(F.xxhash64("doc", "tie", F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)]
     doc_filter = spark.sparkContext.broadcast(key_filter(near, "doc", bits))
@@ -135,24 +190,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
     words = texts.select("doc", "tie", "text", *[b.alias(f"bit{i}") for i, b in enumerate(bits)]).mapInArrow(again, "doc long, tie long, words binary")
     words = words.join(near, ["doc", "tie"], "left_semi").groupBy("doc", "tie").agg(F.min("words").alias("words"))
-    pairs = found.join(words, ["doc", "tie"]).join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
+    pairs = found.join(words, ["doc", "tie"]).join(items.select("item", "item_id", "copies", F.col("words").alias("item_words")), "item")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for item, passage, diagonals in zip(batch.column(3), batch.column(4), batch.column(5)):
+            for item, passage, places in zip(batch.column(4), batch.column(5), batch.column(6)):
                 a, b = np.frombuffer(item.as_py(), np.uint64), np.frombuffer(passage.as_py(), np.uint64)
-                best = max(align(a, b[x:y]) for x, y in passages(np.array(diagonals.as_py(), np.int64), len(a), len(b), threshold))
+                at, item_at = (np.asarray(places.values.field(k).flatten(), np.int64) for k in (0, 1))
+                n, m = (np.asarray(places.values.field(k).value_lengths(), np.int64) for k in (0, 1))
+                best = max(align(a, b[x:y]) for x, y in passages(diagonals(at, n, item_at, m), len(a), len(b), threshold))
                 out.append(best / len(a))
-            yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.float64())], ["doc", "tie", "item_id", "score"])
+            yield pa.record_batch([*batch.columns[:4], pa.array(out, pa.float64())], ["doc", "tie", "item_id", "copies", "score"])
 
-    return pairs.select("doc", "tie", "item_id", "item_words", "words", "diagonals").mapInArrow(score, "doc long, tie long, item_id long, score double").filter(F.col("score") >= threshold)
+    aligned = pairs.select("doc", "tie", "item_id", "copies", "item_words", "words", "places").mapInArrow(score, "doc long, tie long, item_id long, copies long, score double").filter(F.col("score") >= threshold)
+    few = every.filter(F.octet_length("words") < 8 * LEAST_WORDS)
+    whole = counted.filter("words IS NOT NULL").select("doc", "tie", "words").distinct().join(few, "words").select("doc", "tie", "item_id", "copies", F.lit(1.0).alias("score"))
+    return aligned.unionByName(whole)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, contaminated, score (of the best item, 0 if none reaches the threshold), item_id (null if none;
     ties: the smallest), n_items. Rows with null or repeated doc_id are kept; an empty benchmark flags nothing."""
-    best = leaks(docs, benchmark, threshold).groupBy("doc", "tie").agg(F.max(F.struct("score", (-F.col("item_id")).alias("minus"))).alias("best"), F.countDistinct("item_id").alias("n_items"))
+    best = leaks(docs, benchmark, threshold).groupBy("doc", "tie").agg(F.max(F.struct("score", (-F.col("item_id")).alias("minus"))).alias("best"), F.sum("copies").alias("n_items"))
     best, _ = common.kept(best, "leaks")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _doc().alias("doc"), _tie(F.sha2(text.cast("binary"), 256)).alias("tie"))
@@ -166,11 +226,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no test item."""
-    bad, _ = common.kept(leaks(docs, benchmark, threshold).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).distinct(), "leaks")
+    """The rows of docs, all columns, whose text holds no test item. A row travels as one struct, so no column clashes."""
+    bad, _ = common.kept(leaks(docs, benchmark, threshold).select("doc", "tie").distinct(), "leaks")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.withColumns({"_doc": _doc(), "_tie": _tie(F.sha2(text.cast("binary"), 256))})
-    return tagged.join(bad, ["_doc", "_tie"], "left_anti").select(*docs.columns)
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _doc().alias("doc"), _tie(F.sha2(text.cast("binary"), 256)).alias("tie"))
+    return tagged.join(bad, ["doc", "tie"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

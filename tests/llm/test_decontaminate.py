@@ -84,3 +84,26 @@ def test_single_edited_copies_are_found(spark, kind):
     df, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(df, bench).collect() if r.contaminated}
     assert len(want) > 100 and got == want
+
+
+def test_short_items_match_texts_of_the_same_words(spark):
+    items = [(1, "Paris"), (2, "yes, of course"), (3, "one two three four"), (4, "one two three four five"), (None, "null id here"), (9, "paris!")]
+    rows = [(1, "paris"), (2, "Paris is large"), (3, "Yes of course."), (4, "one  two three FOUR"), (5, "so one two three four five it is"), (6, "null id here"), (7, ""), (8, None), (None, "PARIS"), (1, "clean text")]
+    df = spark.createDataFrame([(i, t, 1, 2, "r", 4) for i, t in rows], "doc_id long, text string, doc int, tie int, `row` string, _doc int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(df, bench).collect()
+    assert sorted((str(r.doc_id), r.contaminated, r.score, str(r.item_id), r.n_items) for r in got) == sorted(
+        [("1", True, 1.0, "1", 2), ("2", False, 0.0, "None", 0), ("3", True, 1.0, "2", 1), ("4", True, 1.0, "3", 2), ("5", True, 1.0, "4", 1), ("6", True, 1.0, "None", 1), ("7", False, 0.0, "None", 0), ("8", False, 0.0, "None", 0), ("None", True, 1.0, "1", 2), ("1", False, 0.0, "None", 0)]
+    )
+    clean = decontaminate.keep_clean(df, bench)
+    assert clean.columns == df.columns and sorted(str(r.text) for r in clean.collect()) == ["", "None", "Paris is large", "clean text"]
+
+
+def test_a_leaked_item_and_its_repeats_in_most_texts(spark):
+    item, other = "a rose is a rose is a rose is a rose in any other garden of words".split(), "quite another item of twelve words that only one text ever holds".split()
+    rows = [(i, f"text {i} says " + " ".join(item * (1 + i % 3)), "", "", 0) for i in range(60)] + [(100, "rose is a rose is a " * 300, "", "", 0), (101, " ".join(other[:9]), "", "", 0)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item).upper()), (3, " ".join(other))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    words = rows[60][1].split()
+    assert all(got[i].score == 1 and got[i].item_id == 1 and got[i].n_items == 2 for i in range(60))
+    assert got[100].contaminated == (plain(item, words[:200]) / len(item) >= 0.5) and got[101].item_id == 3 and got[101].score == 0.75
