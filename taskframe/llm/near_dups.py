@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,6 @@ BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 #: Members of a block, and bytes of its texts: both about, as members of larger buckets are dealt by a hash.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
-#: Members compared with one copy of a bucket's centre, so that no group grows with the bucket.
-GROUP = 256
 #: Sets of which all pairs are looked at one by one, and bytes of multisets that a task keeps for their next group.
 FEW, CACHE_BYTES = 12, 64 << 20
 
@@ -120,7 +119,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(signatures(row, element, count, n)).view(np.int64)
             some = np.bincount(row, minlength=n) > 0
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel()), mask=pa.array(~some))
-            yield pa.record_batch([batch.column(0), batch.column(1), bands], ["doc_id", "key", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.asarray(pc.binary_length(batch.column(2)), np.int64)), bands], ["doc_id", "key", "size", "bands"])
 
 
 def _expanded(texts: pa.Array) -> list[np.ndarray]:
@@ -134,8 +133,7 @@ def _expanded(texts: pa.Array) -> list[np.ndarray]:
 
 
 def _packed(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, str]:
-    """(key, size, packed) of the texts with given distinct keys, compressed. A bounded key filter keeps other texts out
-    of the shuffle."""
+    """(key, packed) of the texts with given keys, compressed. A bounded key filter keeps most other texts out."""
     words = docs.sparkSession.sparkContext.broadcast(key_filter(keys, "key"))  # of fixed size
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +148,10 @@ def _packed(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, str]:
                         seen.add(key[i])
                     take.append(i)
             for batch in _runs(whole.take(pa.array(take, pa.int64())), 1):
-                raw = [t.encode() for t in batch.column(1).to_pylist()]
-                yield pa.record_batch([batch.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array([zip_.compress(t) for t in raw], pa.binary())], ["key", "size", "packed"])
+                yield pa.record_batch([batch.column(0), pa.array([zip_.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["key", "packed"])
 
-    near = _keyed(docs).select("key", "text", *filter_bits("key")).mapInArrow(press, "key binary, size long, packed binary")
-    kept = common.kept(near.join(keys, "key", "left_semi").groupBy("key").agg(F.min("size").alias("size"), F.min("packed").alias("packed")), "packed", "none")
+    near = _keyed(docs).select("key", "text", *filter_bits("key")).mapInArrow(press, "key binary, packed binary")
+    kept = common.kept(near.groupBy("key").agg(F.min("packed").alias("packed")), "packed", "none")
     words.destroy()
     return kept
 
@@ -201,28 +198,18 @@ def _near(both: float | np.ndarray, a: int | np.ndarray, b: int | np.ndarray) ->
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of similarity SIMILARITY or more. Members meet copies of their centre v in groups of about GROUP."""
-    size = pairs.groupBy("v").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    member = pairs.join(size, "v").select(F.col("u").alias("key"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
-    centre = size.select(F.col("v").alias("key"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    """The pairs (u, v) of similarity SIMILARITY or more."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets_, centre, of = _Sets(), None, None
+        sets_ = _Sets()
         for whole in batches:
-            for batch in common.slices(whole, 3, BATCH_BYTES):
-                us, vs = [], []
-                key, v, part = (batch.column(c).to_pylist() for c in (0, 1, 2))
-                for k, c, p, own in zip(key, v, part, sets_.of(key, batch.column(3))):
-                    if k == c:
-                        centre, of = own, (c, p)
-                    elif of == (c, p) and _near(_shared(centre, own), len(centre), len(own)):
-                        us.append(k)
-                        vs.append(c)
-                yield pa.record_batch([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
-
-    rows = member.unionByName(centre).join(sets, "key").select("key", "v", "part", "packed")
-    rows = rows.repartition(common.shuffle_partitions(pairs.sparkSession), "v", "part").sortWithinPartitions("v", "part", F.col("key") != F.col("v"))
-    return rows.mapInArrow(compare, "u binary, v binary")
+            for batch in common.slices(whole, 2, BATCH_BYTES):
+                us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                near = [_near(_shared(a, b), len(a), len(b)) for a, b in zip(sets_.of(us, batch.column(2)), sets_.of(vs, batch.column(3)))]
+                yield pa.record_batch([pa.array([x for x, y in zip(c, near) if y], pa.binary()) for c in (us, vs)], ["u", "v"])
+
+    rows = pairs.join(sets.select(F.col("key").alias("u"), F.col("packed").alias("u_packed")), "u").join(sets.select(F.col("key").alias("v"), F.col("packed").alias("v_packed")), "v")
+    return rows.select("u", "v", "u_packed", "v_packed").mapInArrow(compare, "u binary, v binary")
 
 
 def links(values: list[np.ndarray], left: int) -> np.ndarray:
@@ -266,28 +253,30 @@ def links(values: list[np.ndarray], left: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _open(members: DataFrame, roots: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
-    """(bucket, key, root, size, low, high, side): what is still to be compared. Of the buckets whose members stand in
-    different classes, those with the same members count once. A bucket of more than one block is dealt to blocks, the
-    members of its largest class to blocks of their own, and every two blocks meet but two of the largest class."""
-    members = members.join(roots.select(F.col("u").alias("key"), "root"), "key", "left").join(sets.select("key", "size"), "key").select("bucket", "key", F.coalesce("root", "key").alias("root"), "size")
-    members, _ = common.kept(members, "members")
-    mark = [F.bit_xor(F.xxhash64("key", F.lit(s))).alias(f"mark{s}") for s in (1, 2)]  # of the set of members
-    of = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("a"), F.max("root").alias("b"), *mark).filter("a <> b")
-    of, _ = common.kept(of.groupBy("n", "mark1", "mark2").agg(F.min("bucket").alias("bucket"), F.min("bytes").alias("bytes")).select("bucket", "n", "bytes"), "open")
-    parts = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("int")
-    one = of.filter(parts(F.col("n"), F.col("bytes")) == 1).select("bucket")
-    zero = F.lit(0)
-    small = members.join(one, "bucket", "left_semi").select("bucket", "key", "root", zero.alias("low"), zero.alias("high"), zero.alias("side"))
-    large = members.join(of.filter(parts(F.col("n"), F.col("bytes")) > 1).select("bucket"), "bucket", "left_semi")
-    by_class = large.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+def _parts(n: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
+def _large(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks of buckets of more than one block, links (u, v) found on the way).
+
+    A bucket's centre is the member that meets most others in all its large buckets. Each member is compared with the
+    best of its buckets' centres; what this links gets one label. Then the members of a bucket's largest class are dealt
+    to blocks of their own, and every two blocks meet but two of the largest class."""
+    weight = members.groupBy("key").agg(F.sum("n").alias("weight"))
+    centre = members.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("c"))
+    pairs = members.join(centre, "bucket").groupBy("key").agg(F.max("c").alias("c")).filter("key <> c.key")
+    found, _ = common.kept(_verified(pairs.select(F.col("key").alias("u"), F.col("c.key").alias("v")), sets), "links")
+    # centres lead to centres of more weight: one step further gives nearly every class one label, and any label is right
+    label = found.alias("a").join(found.alias("b"), F.col("a.v") == F.col("b.u"), "left").select(F.col("a.u").alias("key"), F.coalesce("b.v", "a.v").alias("root"))
+    members, _ = common.kept(members.join(label, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"), "size"), "members")
+    by_class = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     main = by_class.groupBy("bucket").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    main = main.select("bucket", F.col("top.root").alias("main"), parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rest"), parts(F.col("top.n"), F.col("top.bytes")).alias("more"))
+    main = main.filter("n > top.n").select("bucket", F.col("top.root").alias("main"), _parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rest"), _parts(F.col("top.n"), F.col("top.bytes")).alias("more"))
     inside = F.col("root") == F.col("main")
-    dealt = large.join(main, "bucket").withColumn("own", F.when(inside, F.col("rest") + F.pmod(F.xxhash64("key"), F.col("more"))).otherwise(F.pmod(F.xxhash64("key"), F.col("rest"))).cast("int"))
+    dealt = members.join(main, "bucket").withColumn("own", F.when(inside, F.col("rest") + F.pmod(F.xxhash64("key"), F.col("more"))).otherwise(F.pmod(F.xxhash64("key"), F.col("rest"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("more") - 1))))
-    dealt = dealt.select("bucket", "key", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return common.kept(small.unionByName(dealt), "blocks")
+    return dealt.select("bucket", "key", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side")), found
 
 
 def _joined(blocks: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,27 +322,28 @@ def classes(docs: DataFrame) -> DataFrame:
     words (null, empty, punctuation) is similar to nothing: it is a class by itself, with a null class_key and class_id
     = doc_id. Rows with one doc_id but different texts are different nodes. An empty table gives no rows.
 
-    Candidates: every two members of a bucket of a band. A bucket's centre is the member that meets most others in all
-    its buckets; each member is compared with the best of its buckets' centres. Every two members of a bucket that this
-    leaves in different classes are then compared, in blocks. Nothing is left out.
+    Candidates: every two members of a bucket of a band. Buckets with the same members count once. A bucket of at most
+    one block is one group, in which all pairs are looked at; larger ones are dealt to blocks. Nothing is left out.
     """
     spark = docs.sparkSession
-    rows, _ = common.kept(_keyed(docs).mapInArrow(_sketch, "doc_id long, key binary, bands array<long>"), "sketches")
-    nodes = rows.filter("bands IS NOT NULL").groupBy("key").agg(F.min("bands").alias("bands"))
-    members = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members, _ = common.kept(members.join(shared, "bucket"), "buckets")
-    common.release(spark)
-    sets, _ = _packed(docs, members.select("key").distinct())
-    weight = members.groupBy("key").agg(F.sum("n").alias("weight"))
-    centre = members.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("c"))
-    pairs = members.join(centre, "bucket").groupBy("key").agg(F.max("c").alias("c")).filter("key <> c.key")
-    pairs, _ = common.kept(pairs.select(F.col("key").alias("u"), F.col("c.key").alias("v")), "pairs")
+    rows, _ = common.kept(_keyed(docs).mapInArrow(_sketch, "doc_id long, key binary, size long, bands array<long>"), "sketches")
+    nodes = rows.filter("bands IS NOT NULL").groupBy("key").agg(F.min("bands").alias("bands"), F.min("size").alias("size"))
+    members = nodes.select("key", "size", F.explode("bands").alias("bucket"))
+    mark = [F.bit_xor(F.xxhash64("key", F.lit(s))).alias(f"mark{s}") for s in (1, 2)]  # of the set of members
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *mark).filter("n > 1")
+    shared = shared.groupBy("n", "mark1", "mark2").agg(F.min(F.struct("bucket", "bytes")).alias("b")).select("b.bucket", "n", _parts(F.col("n"), F.col("b.bytes")).alias("parts"))
+    members, _ = common.kept(members.join(shared, "bucket").select("bucket", "key", "size", "n", "parts"), "buckets")
     common.release(spark)
-    roots, _ = common.kept(components(_verified(pairs, sets)), "roots")
+    sets, _ = _packed(docs, members.select("key"))
     common.release(spark)
-    blocks, _ = _open(members.select("bucket", "key"), roots, sets)
-    roots, _ = common.kept(components(_joined(blocks, sets).unionByName(roots.select("u", F.col("root").alias("v")))), "roots")
+    zero = F.lit(0)
+    blocks = members.filter("parts = 1").select("bucket", "key", F.col("key").alias("root"), zero.alias("low"), zero.alias("high"), zero.alias("side"))
+    large = members.filter("parts > 1")
+    if large.isEmpty():
+        roots = components(_joined(blocks, sets))
+    else:
+        dealt, found = _large(large.select("bucket", "key", "size", "n"), sets)
+        roots = components(_joined(blocks.unionByName(dealt), sets).unionByName(found))
     common.release(spark)
     some = rows.filter("bands IS NOT NULL").select("doc_id", "key").join(roots.withColumnRenamed("u", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("class_key"))
     best = some.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"), F.count("*").alias("n"))
