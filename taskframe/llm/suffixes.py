@@ -3,10 +3,11 @@
 Every 100-byte window has one anchor: the window's smallest hashed GRAM-byte string, leftmost of equals. Equal windows
 have equal anchors at equal places, so a window whose anchor occurs once in the corpus occurs once itself. The windows
 of one anchor occurrence are consecutive; with the bytes they span they are a *region*. Regions are dealt to shards by
-anchor, so that all occurrences of a window meet in one shard. A shard builds one suffix array over its regions
-(Larsson-Sadakane refinement: only groups that are still tied are sorted again), takes the common prefixes of
-neighbours (Kasai), and in every run of suffixes that share 100 bytes marks all but the earliest. An anchor with very
-many different regions is split over several shards, whose sorted windows are merged by binary search afterwards.
+anchor, so that all occurrences of a window meet in one shard. A shard builds one suffix array over its regions, each
+string of bytes once with all its places (Larsson-Sadakane refinement: only groups that are still tied are sorted
+again), takes the common prefixes of neighbours (Kasai), and in every run of suffixes that share 100 bytes marks all but
+the earliest. Occurrences of a very frequent anchor are split over many shards, whose sorted windows are merged by binary
+search afterwards. Every removed byte is found so, from bytes that were compared.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .graphs import FILTER_BITS, filter_bits, key_filter, may_hold
 
 LENGTH, GRAM = 100, 40
-#: Bytes of text hashed at once; bytes of regions in one suffix array; different regions of an anchor in one shard.
-BATCH_BYTES, SHARD_BYTES, SPLIT = 1 << 20, 3 << 19, 8_192
+#: Bytes of text hashed at once; bytes of regions in one suffix array; occurrences from which on an anchor is split.
+BATCH_BYTES, SHARD_BYTES, SPLIT = 1 << 20, 3 << 19, 4_096
 _NONE = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -197,153 +198,202 @@ def _tie(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """(rows, their bytes, where they end, where they begin in the text). A long text comes in pieces that share all
+    but one byte of a window, so that each window is in one piece and a piece stays below about twice BATCH_BYTES."""
     for whole in batches:
         for batch in common.slices(whole, column, BATCH_BYTES):
-            yield batch, *common.text_bytes(batch.column(column))
+            flat, ends = common.text_bytes(batch.column(column))
+            if len(ends) > 2 or len(flat) <= 2 * BATCH_BYTES:
+                yield batch, flat, ends, 0
+                continue
+            for at in range(0, len(flat) - LENGTH + 1, BATCH_BYTES):
+                piece = flat[at : at + BATCH_BYTES + LENGTH - 1]
+                yield batch, piece, np.array([0, len(piece)]), at
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, split: int = SPLIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc, tie, start, n): runs of n windows of a text, from `start` on, that occur earlier in the corpus."""
     spark = docs.sparkSession
-    texts = _texts(docs)
+    texts, parts = _texts(docs), common.shuffle_partitions(docs.sparkSession)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, flat, ends in _batches(batches, 0):
+        for _, flat, ends, _ in _batches(batches, 0):
             hashes, count = np.unique(regions(flat, ends)[3], return_counts=True)
-            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(np.minimum(count, 2))], ["anchor", "n"])
+            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(count)], ["anchor", "n"])
 
-    often = texts.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
+    often = texts.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", (F.col("n") > split).alias("hot"))
+    often, _ = common.kept(often, "anchors")
     filled = spark.sparkContext.broadcast(key_filter(often, "anchor", [F.col("anchor").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("anchor", 32).bitwiseAND(FILTER_BITS - 1)]))  # of fixed size
     common.release(spark)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64(FILTER_BITS - 1)
-        for batch, flat, ends in _batches(batches, 2):
-            row, first, count, anchor, whole = regions(flat, ends)
+        for batch, flat, ends, begin in _batches(batches, 2):
+            row, first, count, anchor, _ = regions(flat, ends)
             hit = may_hold(filled.value, (anchor & mask).astype(np.int64), (anchor >> np.uint64(32) & mask).astype(np.int64))
-            row, first, count, anchor, whole = (x[hit] for x in (row, first, count, anchor, whole))
-            # a region that stood in the same text before is superfluous as it is
-            by = np.lexsort((first, whole, anchor, row))
-            again = np.zeros(len(row), bool)
-            again[by[1:]] = (row[by[1:]] == row[by[:-1]]) & (anchor[by[1:]] == anchor[by[:-1]]) & (whole[by[1:]] == whole[by[:-1]])
+            row, first, count, anchor = (x[hit] for x in (row, first, count, anchor))
             take = pa.array(row)
-            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(first - ends[row]), pa.array(count), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(again)], ["doc", "tie", "start", "n", "anchor", "region", "again"])
+            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(first - ends[row] + begin), pa.array(count), pa.array(anchor.view(np.int64))], ["doc", "tie", "start", "n", "anchor"])
 
-    found, _ = common.kept(texts.mapInArrow(occurrences, "doc long, tie long, start long, n long, anchor long, region long, again boolean"), "occurrences")
-    same = found.filter("again").select("doc", "tie", "start", "n")
-    light = found.filter("NOT again").select("doc", "tie", "start", "n", "anchor", "region")
-    one = light.groupBy("anchor", "region").agg(F.min(F.struct("doc", "tie", "start", "n")).alias("f"), F.count("*").alias("copies"))
-    kinds, _ = common.kept(one.select("anchor", "region", F.col("f.doc").alias("f_doc"), F.col("f.tie").alias("f_tie"), F.col("f.start").alias("f_start"), F.col("f.n").alias("f_n"), "copies"), "kinds")
-    common.release(spark)
-    # all but the first occurrence of one region are superfluous
-    copied = kinds.filter("copies > 1").select("anchor", "region", "f_doc", "f_tie", "f_start")
-    copies = light.join(copied, ["anchor", "region"]).filter("doc <> f_doc OR tie <> f_tie OR start <> f_start").select("doc", "tie", "start", "n")
-    # the first occurrences of an anchor's different regions meet in a shard
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    first = kinds.join(several, "anchor").select(F.col("f_doc").alias("doc"), F.col("f_tie").alias("tie"), F.struct("anchor", F.col("f_start").alias("start"), F.col("f_n").alias("n"), "kinds").alias("region"))
-    wanted, _ = common.kept(first.groupBy("doc", "tie").agg(F.collect_list("region").alias("wanted")), "wanted")  # bounded by the text's length
+    # the filter may let others through, above all when it is full; the join does not
+    found = texts.mapInArrow(occurrences, "doc long, tie long, start long, n long, anchor long").join(often, "anchor")
+    wanted, _ = common.kept(found.groupBy("doc", "tie").agg(F.collect_set(F.struct("anchor", "start", "n", "hot")).alias("wanted")), "wanted")  # bounded by the text's length
+    filled.destroy()
     common.release(spark)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
+        press, names = zstandard.ZstdDecompressor(), ["anchor", "part", "split", "doc", "tie", "start", "bytes"]
         for whole in batches:
             for batch in common.slices(whole, 2, BATCH_BYTES // 4):
                 regions_ = batch.column(3)
                 text = [press.decompress(p.as_py()) for p in batch.column(2)]
                 row = np.repeat(np.arange(len(text)), np.asarray(regions_.value_lengths()))
-                anchor, start, n, kinds_ = regions_.flatten().flatten()
-                span = [text[r][a : a + k + LENGTH - 1] for r, a, k in zip(row.tolist(), start.to_pylist(), n.to_pylist())]
-                yield pa.record_batch([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), anchor, start, kinds_, pa.array(span, pa.binary())], ["doc", "tie", "anchor", "start", "kinds", "bytes"])
-
-    chosen = _cut(docs, wanted).mapInArrow(extract, "doc long, tie long, anchor long, start long, kinds long, bytes binary")
-    part = F.pmod(F.xxhash64("doc", "tie"), F.ceil(F.col("kinds") / SPLIT).cast("long")).alias("part")
-    dealt = chosen.select("anchor", part, (F.col("kinds") > SPLIT).alias("split"), "doc", "tie", "start", "bytes")
-    order = ["anchor", "part", "doc", "tie", "start"]
-    dealt = dealt.repartition(common.shuffle_partitions(spark), "anchor", "part").sortWithinPartitions(*order)
-    sharded, _ = common.kept(dealt.mapInArrow(_shards, "doc long, tie long, start long, n long, anchor long, slot int, windows binary"), "shards")
+                anchor, start, n, hot = regions_.flatten().flatten()
+                kinds: dict[tuple[int, bytes], int] = {}  # copies of a region travel once from a batch
+                kind = np.array([kinds.setdefault((h, text[r][a : a + k + LENGTH - 1]), len(kinds)) for h, r, a, k in zip(anchor.to_pylist(), row.tolist(), start.to_pylist(), n.to_pylist())], np.int64)
+                by = np.argsort(kind, kind="stable")
+                first = by[np.searchsorted(kind[by], np.arange(len(kinds)))]
+                offsets = pa.array(np.append(np.searchsorted(kind[by], np.arange(len(kinds))), len(by)), pa.int32())
+                doc, tie = (np.asarray(batch.column(c))[row] for c in (0, 1))
+                wide = np.asarray(hot)[first] if len(first) else np.zeros(0, bool)
+                part = np.where(wide, np.abs(doc[first] * 31 + tie[first]) % parts, 0)
+                places = [pa.ListArray.from_arrays(offsets, pa.array(x[by])) for x in (doc, tie, np.asarray(start))]
+                yield pa.record_batch([pa.array([h for h, _ in kinds], pa.int64()), pa.array(part), pa.array(wide.astype(bool)), *places, pa.array([b for _, b in kinds], pa.binary())], names)
+
+    dealt = _cut(docs, wanted).mapInArrow(extract, "anchor long, part long, split boolean, doc array<long>, tie array<long>, start array<long>, bytes binary")
+    dealt = dealt.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
+    sort = lambda batches: _shards(batches, 4 * parts, shard_bytes)
+    sharded, _ = common.kept(dealt.mapInArrow(sort, "doc long, tie long, start long, n long, anchor long, slot int, windows binary"), "shards")
     common.release(spark)
     inside = sharded.filter("windows IS NULL").select("doc", "tie", "start", "n")
-    parts = sharded.filter("windows IS NOT NULL").select("anchor", "slot", "windows").repartition(common.shuffle_partitions(spark), "anchor", "slot").sortWithinPartitions("anchor", "slot")
-    across = parts.mapInArrow(_merge, "doc long, tie long, start long, n long")
-    return same.unionByName(copies).unionByName(inside).unionByName(across)
+    tables = sharded.filter("windows IS NOT NULL").select("anchor", "slot", "windows").repartition(parts, "slot").sortWithinPartitions("slot")
+    return inside.unionByName(tables.mapInArrow(_merge, "doc long, tie long, start long, n long"))
 
 
 _SORTED = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("start", "<i8"), ("bytes", f"S{LENGTH}")])
-#: Windows of a split anchor are merged in so many slots, by a hash of their bytes.
+#: Windows of split anchors are merged in so many slots, by a hash of their bytes.
 SLOTS = 64
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], slots: int = SLOTS, shard_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
+    """From regions sorted by anchor and part, with one place or a list of places each: rows (doc, tie, start, n) of
+    superfluous windows, and for split anchors rows (anchor 0, slot, windows) with the shard's sorted first windows. As
+    equal windows have equal anchors, tables of several anchors can be merged as one."""
     names = ["doc", "tie", "start", "n", "anchor", "slot", "windows"]
-    held: list[tuple] = []
-    size = 0
+    kinds: dict[tuple[int, bytes], int] = {}  # equal strings are one
+    split: list[bool] = []
+    owner: list[int] = []
+    places: list[tuple[np.ndarray, ...]] = []
+    size, limit = 0, shard_bytes or SHARD_BYTES
+
+    def runs(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, (doc, tie, start, n)), *(pa.nulls(len(doc), t) for t in (pa.int64(), pa.int32(), pa.binary()))], names=names)
 
     def shard() -> Iterator[pa.RecordBatch]:
-        rows = list(dict.fromkeys(held))
-        text = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
-        ends = np.concatenate([[0], np.cumsum([len(r[6]) for r in rows])])
-        ids = sorted({(r[3], r[4]) for r in rows})
-        number = {x: i for i, x in enumerate(ids)}
-        rank, start = np.array([number[r[3], r[4]] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
+        strings = [b for _, b in kinds]
+        ends = np.concatenate([[0], np.cumsum([len(b) for b in strings])])
+        doc, tie, start, count = (np.concatenate(x) for x in zip(*places))
+        string = np.repeat(np.array(owner, np.int64), count)
+        by = np.lexsort((start, tie, doc, string))
+        doc, tie, start, string = doc[by], tie[by], start[by], string[by]
+        differ = lambda *x: np.logical_or.reduce([np.concatenate([[True], c[1:] != c[:-1]]) for c in x])
+        new = differ(string, doc, tie, start)  # repeated rows of the table
+        doc, tie, start, string = doc[new], tie[new], start[new], string[new]
+        head = differ(string)
+        rest = ~head
+        yield runs(doc[rest], tie[rest], start[rest], np.diff(ends)[string[rest]] - LENGTH + 1)
+        doc, tie, start = doc[head], tie[head], start[head]
+        by = np.lexsort((tie, doc))
+        rank = np.zeros(len(doc), np.int64)
+        rank[by] = np.cumsum(differ(doc[by], tie[by]))
+        text = np.frombuffer(b"".join(strings), np.uint8)
         late, least = later_windows(text, ends, rank, start)
         late.sort()
-        owner = np.searchsorted(ends, late, "right") - 1
-        new = np.concatenate([[True], (late[1:] != late[:-1] + 1) | (owner[1:] != owner[:-1])]) if len(late) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        own = owner[at]
-        columns = [pa.array([rows[i][3] for i in own], pa.int64()), pa.array([rows[i][4] for i in own], pa.int64()), pa.array(start[own] + late[at] - ends[own]), pa.array(np.diff(np.append(at, len(late))))]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(at), t) for t in (pa.int64(), pa.int32(), pa.binary()))], names=names)
-        # windows that a split anchor has in this shard go on in sorted order
-        owner = np.searchsorted(ends, least, "right") - 1
-        wide = np.array([r[2] for r in rows], bool)[owner]
-        least, owner = least[wide], owner[wide]
-        for anchor in sorted({rows[i][0] for i in owner}):
-            mine = np.array([r[0] for r in rows])[owner] == anchor
-            at, own = least[mine], owner[mine]
-            table = np.zeros(len(at), _SORTED)
-            table["doc"], table["tie"], table["start"] = [rows[i][3] for i in own], [rows[i][4] for i in own], start[own] + at - ends[own]
-            bytes_ = text[at[:, None] + np.arange(LENGTH)]
-            table["bytes"] = np.ascontiguousarray(bytes_).view(f"S{LENGTH}").ravel()
-            slot = common.mix64((bytes_.astype(np.uint64) * (2 * np.arange(LENGTH, dtype=np.uint64) + 1) ** 3).sum(1)) % np.uint64(SLOTS)
-            for s in np.unique(slot):
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([anchor]), pa.array([int(s)], pa.int32()), pa.array([table[slot == s].tobytes()], pa.binary())], names=names)
-
+        own = np.searchsorted(ends, late, "right") - 1
+        at = np.flatnonzero(np.concatenate([[True], (late[1:] != late[:-1] + 1) | (own[1:] != own[:-1])])) if len(late) else np.zeros(0, np.int64)
+        of = own[at]
+        yield runs(doc[of], tie[of], start[of] + late[at] - ends[of], np.diff(np.append(at, len(late))))
+        # windows that split anchors have in this shard go on in sorted order
+        own = np.searchsorted(ends, least, "right") - 1
+        wide = np.array(split, bool)[own]
+        least, own = least[wide], own[wide]
+        if not len(least):
+            return
+        table = np.zeros(len(least), _SORTED)
+        table["doc"], table["tie"], table["start"] = doc[own], tie[own], start[own] + least - ends[own]
+        bytes_ = text[least[:, None] + np.arange(LENGTH)]
+        table["bytes"] = np.ascontiguousarray(bytes_).view(f"S{LENGTH}").ravel()
+        slot = (common.mix64((bytes_.astype(np.uint64) * (2 * np.arange(LENGTH, dtype=np.uint64) + 1) ** 3).sum(1)) % np.uint64(slots)).astype(np.int64)
+        by = np.argsort(slot, kind="stable")
+        table, slot = table[by], slot[by]
+        at = np.append(np.flatnonzero(differ(slot)), len(slot))
+        packed = [table[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(packed), pa.int64()) for _ in range(4)), pa.array(np.zeros(len(packed), np.int64)), pa.array(slot[at[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=names)
+
+    of = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and size > SHARD_BYTES and row[:2] != held[-1][:2]:
-                yield from shard()
-                held, size = [], 0
-            elif held and row[2] and row[:2] != held[-1][:2] and row[0] == held[-1][0]:  # parts of one anchor stay apart
+        anchor, part, wide, data = (batch.column(c).to_pylist() for c in (0, 1, 2, 6))
+        listed = pa.types.is_list(batch.schema.field(3).type)
+        count = np.asarray(batch.column(3).value_lengths(), np.int64) if listed else np.ones(batch.num_rows, np.int64)
+        flat = [np.asarray(batch.column(c).flatten() if listed else batch.column(c), np.int64) for c in (3, 4, 5)]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        begin = 0
+        for i, key in enumerate(zip(anchor, part)):
+            # parts of one anchor stay apart, as they would in different tasks
+            if kinds and key != of and (size > limit or wide[i] and key[0] == of[0]):
+                places.append((*(x[ends[begin] : ends[i]] for x in flat), count[begin:i]))
                 yield from shard()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[6])
-    if held:
+                kinds, split, owner, places, size, begin = {}, [], [], [], 0, i
+            of = key
+            k = kinds.setdefault((key[0], data[i]), len(kinds))
+            if k == len(split):
+                split.append(wide[i])
+                size += len(data[i])
+            owner.append(k)
+        places.append((*(x[ends[begin] :] for x in flat), count[begin:]))
+    if kinds:
         yield from shard()
 
 
+def _met(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(both sorted tables of different windows as one, in which of equal windows the earliest stays; the others)."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a["bytes"], b["bytes"])
+    inside = np.minimum(at, len(a) - 1)
+    same = a["bytes"][inside] == b["bytes"]
+    mine, theirs = b[same], a[inside[same]]
+    earlier = (mine["doc"] < theirs["doc"]) | (mine["doc"] == theirs["doc"]) & ((mine["tie"] < theirs["tie"]) | (mine["tie"] == theirs["tie"]) & (mine["start"] < theirs["start"]))
+    a = a.copy()
+    a[inside[same][earlier]] = mine[earlier]
+    out = np.empty(len(a) + len(b) - len(mine), _SORTED)
+    place = at[~same] + np.arange(len(b) - len(mine))
+    old = np.ones(len(out), bool)
+    old[place] = False
+    out[place], out[old] = b[~same], a
+    return out, np.where(earlier, theirs, mine)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted windows of one anchor's shards, met by binary search: of equal ones the earliest stays."""
-    of, best = None, None
+    """Sorted windows of split anchors' shards, met by binary search, tables of like size first."""
+    of, tables = None, []
+
+    def meet(least: int) -> Iterator[pa.RecordBatch]:
+        while len(tables) > 1 and len(tables[-1]) >= least * len(tables[-2]) // 2:
+            table, late = _met(tables.pop(), tables.pop())
+            tables.append(table)
+            if len(late):
+                yield pa.record_batch([pa.array(late[c].copy()) for c in ("doc", "tie", "start")] + [pa.array(np.ones(len(late), np.int64))], ["doc", "tie", "start", "n"])
+
     for batch in batches:
-        late = []
         for anchor, slot, packed in zip(*(c.to_pylist() for c in batch.columns)):
-            more = np.frombuffer(packed, _SORTED).copy()
             if of != (anchor, slot):
-                of, best = (anchor, slot), more
-                continue
-            at = np.searchsorted(best["bytes"], more["bytes"])
-            inside = np.minimum(at, len(best) - 1)
-            same = best["bytes"][inside] == more["bytes"]
-            mine, theirs = more[same], best[inside[same]]
-            earlier = (mine["doc"] < theirs["doc"]) | (mine["doc"] == theirs["doc"]) & ((mine["tie"] < theirs["tie"]) | (mine["tie"] == theirs["tie"]) & (mine["start"] < theirs["start"]))
-            late.append(np.where(earlier, theirs, mine))
-            best[inside[same][earlier]] = mine[earlier]
-            best = np.insert(best, at[~same], more[~same])
-        if late:
-            rows = np.concatenate(late)
-            yield pa.record_batch([pa.array(rows["doc"].copy()), pa.array(rows["tie"].copy()), pa.array(rows["start"].copy()), pa.array(np.ones(len(rows), np.int64))], ["doc", "tie", "start", "n"])
+                yield from meet(0)
+                of, tables = (anchor, slot), []
+            tables.append(np.frombuffer(packed, _SORTED))
+            yield from meet(1)
+    yield from meet(0)
 
 
 # --- removal ---------------------------------------------------------------------------------------------------------
@@ -358,7 +408,7 @@ def removed_spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([a[head], b[np.append(head[1:], len(a)) - 1]], 1) if len(head) else np.zeros((0, 2), np.int64)
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, split: int = SPLIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc, tie, spans): the removed byte runs of each text that loses some, as array of [start, stop)."""
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +416,7 @@ def spans(docs: DataFrame) -> DataFrame:
             got = [removed_spans(np.array([x["start"] for x in r], np.int64), np.array([x["n"] for x in r], np.int64)).ravel().tolist() for r in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int64()))], ["doc", "tie", "spans"])
 
-    runs = repeats(docs).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # bounded by the text's length
+    runs = repeats(docs, split, shard_bytes).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # bounded by the text's length
     return runs.mapInArrow(join_up, "doc long, tie long, spans array<long>")
 
 
@@ -394,14 +444,14 @@ def _without(text: bytes, runs: list[int]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def dedup_report(docs: DataFrame) -> DataFrame:
+def dedup_report(docs: DataFrame, split: int = SPLIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are ordered by doc_id, null ids last; different texts of one doc_id by their digest; of repeated rows (same
     doc_id and text) one comes first and the others lose all they can. Null text: empty. Texts below 100 bytes lose
     nothing. Other columns are ignored. An empty table gives no rows.
     """
-    lost, _ = common.kept(spans(docs), "spans")
+    lost, _ = common.kept(spans(docs, split, shard_bytes), "spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -430,21 +480,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs, all columns and rows, with the repeated bytes taken out of `text`.
 
     A run that begins or ends inside a character takes the whole character out. A text that loses everything becomes
-    empty, its row stays. Null texts stay null. The first of repeated rows keeps its text like any first occurrence.
+    empty, its row stays. Null texts stay null. Of rows with one doc_id and one text of 100 bytes or more, one is the
+    first occurrence and the others become empty. A row travels as one struct, so that no column clashes.
     """
     lost, _ = common.kept(spans(docs), "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.withColumns({"_doc": _doc(), "_tie": _tie(F.sha2(text.cast("binary"), 256))})
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _doc().alias("doc"), _tie(F.sha2(text.cast("binary"), 256)).alias("tie"), (F.octet_length(text) >= LENGTH).alias("long"))
+    again = tagged.filter("long").groupBy("doc", "tie").agg(F.count("*").alias("n")).filter("n > 1").select("doc", "tie", F.lit(True).alias("again"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             kept = [_without(press.decompress(p.as_py()), r).decode("utf-8", "ignore") for p, r in zip(batch.column(2), batch.column(3).to_pylist())]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["_doc", "_tie", "_kept"])
-
-    changed = _cut(docs, lost).mapInArrow(cut, "_doc long, _tie long, _kept string")
-    joined = tagged.join(changed, ["_doc", "_tie"], "left")
-    return joined.select(*[F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["doc", "tie", "kept"])
+
+    changed = _cut(docs, lost).mapInArrow(cut, "doc long, tie long, kept string")
+    joined = tagged.join(changed, ["doc", "tie"], "left").join(again, ["doc", "tie"], "left")
+    one = joined.filter("again IS NULL").withColumn("nth", F.lit(1))
+    more = joined.filter("again").withColumn("nth", F.row_number().over(Window.partitionBy("doc", "tie").orderBy("long")))  # rows repeated in full
+    text = F.when(F.col("nth") > 1, "").otherwise(F.coalesce("kept", F.col("row.text")))
+    return one.unionByName(more).select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
