@@ -52,6 +52,8 @@ def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) for every path. Semi-naive: each round extends only the pairs found in the last one."""
     spark = edges.sparkSession
     edges, _ = kept(edges.select("src", "dst").distinct(), "edges")
+    if not edges.filter("src = dst").isEmpty():
+        raise CycleError("the graph has a cycle")
     new, all_ = edges, edges
     while True:
         step = new.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .. import fixtures as fx
 from .. import functions as fn
 from ..functions import values
-from ..operators import graph, metrics, schedule, tasks
+from ..operators import graph, metrics, remote, schedule, tasks
 from ..sources import runlog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,7 +296,7 @@ def log_outdated(spark, d):
 
 @query(f"{LOG} SELECT count(*) AS n, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS made FROM log")
 def log_roundtrip_diff(spark, d):
-    """Records turned into JSON lines and parsed again, strictly: none is lost, none is new."""
+    """Records turned into JSON lines and parsed again: none is lost, none is new."""
     log = fx.log(spark, d)
     back = runlog.parse_lines(runlog.to_lines(log))
     text = lambda rows: runlog.to_lines(rows)
@@ -393,6 +393,111 @@ def unready_counter(spark, d):
     return log.filter("tag = 'Ready'").groupBy("session").agg(F.countDistinct("key").alias("ready")).crossJoin(F.broadcast(total)).select("session", (F.col("total") - F.col("ready")).alias("unready"))  # one row
 
 
+# --- remote workers and the administrator ------------------------------------------------------------------------------
+
+
+#: Fixture: a transaction per customer, claimed at its number; a request per order.
+SQL_REMOTE = """t AS (SELECT c_custkey AS transaction, 'task-' || c_custkey AS key, 'job-' || c_nationkey AS job, c_custkey AS since FROM customer),
+q AS (SELECT o_orderkey AS seq, CASE o_orderkey % 5 WHEN 0 THEN 'end' WHEN 1 THEN 'begun' ELSE 'ping' END AS endpoint, o_custkey + CASE WHEN o_orderkey % 29 = 0 THEN 100000000 ELSE 0 END AS transaction,
+  CASE WHEN o_orderkey % 23 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN 'job-x' ELSE 'job-' || c_nationkey END AS job, o_orderkey % 31 <> 0 AS authorized FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _transactions(spark, d):
+    return fx.read(spark, d, "customer").select(F.col("c_custkey").alias("transaction"), F.concat(F.lit("task-"), "c_custkey").alias("key"), F.concat(F.lit("job-"), "c_nationkey").alias("job"), F.col("c_custkey").alias("since"))
+
+
+def _requests(spark, d):
+    rows = fx.read(spark, d, "orders").join(fx.read(spark, d, "customer"), F.expr("o_custkey = c_custkey"))
+    return rows.select(
+        F.col("o_orderkey").alias("seq"),
+        F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'end' WHEN 1 THEN 'begun' ELSE 'ping' END").alias("endpoint"),
+        F.expr("o_custkey + IF(o_orderkey % 29 = 0, 100000000, 0)").alias("transaction"),
+        F.expr("CASE WHEN o_orderkey % 23 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN 'job-x' ELSE concat('job-', c_nationkey) END").alias("job"),
+        F.expr("o_orderkey % 31 <> 0").alias("authorized"),
+    )
+
+
+@query(f"""WITH {SQL_REMOTE}, e AS (SELECT q.transaction, min(seq) AS until FROM q JOIN t USING (transaction) WHERE endpoint = 'end' AND authorized AND q.job IS NOT NULL AND seq > since GROUP BY q.transaction),
+r AS (SELECT q.*, t.key, t.job AS own, coalesce(seq > since, false) AND coalesce(seq <= until, true) AS alive FROM q LEFT JOIN t USING (transaction) LEFT JOIN e USING (transaction)),
+c AS (SELECT *, CASE WHEN NOT authorized THEN 401 WHEN endpoint = 'ping' THEN 200 WHEN endpoint = 'end' AND job IS NULL THEN 400 WHEN NOT alive THEN 404 WHEN job IS NULL THEN 400 WHEN endpoint = 'end' AND job <> own THEN 404 ELSE 200 END AS code FROM r)
+SELECT seq, endpoint, key, code, CASE WHEN code = 200 AND endpoint = 'begun' THEN 'Started' WHEN code = 200 AND endpoint = 'end' THEN 'Finished' END AS event FROM c""")
+def transaction_replies(spark, d):
+    return remote.transaction_replies(_requests(spark, d), _transactions(spark, d)).select("seq", "endpoint", "key", "code", "event")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN 401 WHEN o_orderkey % 23 = 0 THEN 400 WHEN o_custkey % 17 = 0 OR o_orderkey % 41 = 0 THEN 410 WHEN o_orderkey % 13 = 0 THEN 404
+WHEN o_orderstatus = 'P' OR CAST(floor(o_totalprice) AS BIGINT) % 40000 >= 30000 THEN 429 ELSE 200 END AS code FROM orders""")
+def claim_replies(spark, d):
+    job = F.expr("IF(o_orderkey % 23 = 0, NULL, o_custkey)")
+    wait = F.when(F.col("o_orderstatus") != "P", F.floor("o_totalprice") % 40000)
+    code = remote.claim_code(F.expr("o_orderkey % 31 <> 0"), job, F.expr("o_custkey % 17 = 0"), F.expr("o_orderkey % 41 = 0"), F.expr("o_orderkey % 13 <> 0"), wait)
+    return fx.read(spark, d, "orders").select("o_orderkey", code.alias("code"))
+
+
+@query("SELECT job, bool_or(asked) AS replied FROM (SELECT s_suppkey AS job, true AS asked FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) UNION ALL SELECT s_suppkey, false FROM supplier WHERE s_suppkey % 7 = 0) GROUP BY job")
+def cancelled_jobs(spark, d):
+    """All suppliers' jobs are to be cancelled; those of nation 3 run, every seventh was cancelled before."""
+    jobs = fx.read(spark, d, "supplier").withColumn("job", F.col("s_suppkey"))
+    reply, all_ = remote.mark_cancelled(jobs, jobs.filter("s_nationkey = 3"), jobs.filter("job % 7 = 0"))
+    return all_.join(reply.withColumn("asked", F.lit(True)), "job", "left").select("job", F.coalesce("asked", F.lit(False)).alias("replied"))
+
+
+KIND = "CASE event_id % 11 WHEN 0 THEN 'ratelimit' WHEN 1 THEN 'provisioner_info' WHEN 2 THEN CASE WHEN user_id % 2 = 0 THEN 'soft' ELSE 'hard' END ELSE 'none' END"
+
+
+@query(f"""WITH c AS (SELECT user_id, event_id, epoch_us(ts) AS moment, {KIND} AS kind FROM events)
+SELECT user_id, arg_max(event_id % 1000, event_id) FILTER (kind = 'ratelimit') AS per_second, 'info ' || arg_max(event_id, event_id) FILTER (kind = 'provisioner_info') AS provisioner_info,
+coalesce(bool_or(kind = 'hard') FILTER (kind IN ('soft', 'hard')), false) AS hard, min(moment) FILTER (kind = 'soft') AS soft_us FROM c GROUP BY user_id""")
+def admin_settings(spark, d):
+    value = F.expr("IF(event_id % 11 = 0, string(event_id % 1000), concat('info ', event_id))")
+    commands = fx.read(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), metrics.micros("ts").alias("at"), F.expr(KIND).alias("kind"), value.alias("value"))
+    return remote.settings(commands, "user_id").withColumnRenamed("soft_at", "soft_us")
+
+
+US = "CAST(round(value * 1000) AS BIGINT)"
+
+
+@query(f"""WITH q AS (SELECT CASE event_id % 4 WHEN 0 THEN 'ping' WHEN 1 THEN 'start' WHEN 2 THEN 'begun' ELSE 'status' END AS endpoint, {US} AS us FROM events)
+SELECT a.endpoint, coalesce(quantile_disc(us, 0.5), 0) AS p50, coalesce(quantile_disc(us, 0.99), 0) AS p99 FROM (VALUES ('start'), ('begun'), ('end'), ('ping')) a(endpoint) LEFT JOIN q USING (endpoint) GROUP BY a.endpoint""")
+def request_latency(spark, d):
+    return remote.latencies(_timed(spark, d), exact=True)
+
+
+def _timed(spark, d):
+    endpoint = F.expr("CASE event_id % 4 WHEN 0 THEN 'ping' WHEN 1 THEN 'start' WHEN 2 THEN 'begun' ELSE 'status' END")
+    return fx.read(spark, d, "events").select(endpoint.alias("endpoint"), F.round(F.col("value") * 1000).cast("long").alias("us"))
+
+
+@query(f"""{RECURSIVE}, {OUTCOME}, s AS (SELECT *, CASE WHEN outcome <> 'success' THEN outcome WHEN id % 7 < 3 THEN 'ready' WHEN id % 7 = 3 THEN 'inflight' ELSE 'done' END AS state FROM outcome),
+queues AS (SELECT affinity, count(*) FILTER (state = 'ready') AS num_ready, count(*) FILTER (state = 'inflight') AS num_inflight FROM s GROUP BY affinity),
+totals AS (SELECT count(*) AS num_total_tasks, count(*) FILTER (state = 'blocked') AS num_unready_tasks FROM s),
+latest AS (SELECT max(event_id) AS etag, round(sum(CASE WHEN epoch_us(ts) <= {NOW} THEN exp(-(({NOW} - epoch_us(ts)) / 1e6) / {TAU}) / {TAU} ELSE 0 END) / (1 - exp(-({NOW} - {BEGAN}) / 1e6 / {TAU})), 9) AS rate,
+  arg_max(event_id % 1000, event_id) FILTER (event_id % 11 = 0) AS ratelimit, 'info ' || max(event_id) FILTER (event_id % 11 = 1) AS provisioner_info FROM events),
+recent AS (SELECT CAST(sum(ms) // count(ms) AS BIGINT) AS average_recent_ms FROM (SELECT {MS} AS ms FROM lineitem ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC LIMIT 100)),
+lat AS (SELECT {", ".join(f"coalesce(quantile_disc({US}, {q}) FILTER (event_id % 4 = {k}), 0) AS {e}_{n}" for e, k in (("start", 1), ("begun", 2), ("end", 9), ("ping", 0)) for q, n in ((0.5, "p50"), (0.99, "p99")))} FROM events)
+SELECT * FROM queues, totals, latest, recent, lat""")
+def status_reply_full(spark, d):
+    """All that a status poll answers: a row for each queue, with what holds for the whole server beside it."""
+    nodes = fx.tasks(spark, d)
+    out = schedule.outcomes(fx.edges(spark, d), nodes, fx.failing(spark, d)).join(nodes, "id")
+    state = F.when(F.col("outcome") != "success", F.col("outcome")).when(F.col("id") % 7 < 3, "ready").when(F.col("id") % 7 == 3, "inflight").otherwise("done")
+    # counted by queue once; the totals are sums of a few rows
+    by = out.groupBy("affinity").agg(*[F.count_if(state == s).alias(f"num_{s}") for s in ("ready", "inflight", "blocked")], F.count("*").alias("n"))
+    all_ = Window.partitionBy()
+    queues = by.select("affinity", "num_ready", "num_inflight", F.sum("n").over(all_).alias("num_total_tasks"), F.sum("num_blocked").over(all_).alias("num_unready_tasks"))
+    events = fx.read(spark, d, "events").withColumn("server", F.lit(0))
+    rate = metrics.decayed_rate(events, ["server"], "ts", NOW, BEGAN, TAU).select(F.round("rate", 9).alias("rate"))
+    kind, value = F.expr("CASE event_id % 11 WHEN 0 THEN 'ratelimit' WHEN 1 THEN 'provisioner_info' END"), F.expr("IF(event_id % 11 = 0, string(event_id % 1000), concat('info ', event_id))")
+    config = remote.settings(events.select("server", F.col("event_id").alias("seq"), metrics.micros("ts").alias("at"), kind.alias("kind"), value.alias("value")), "server").select(F.col("per_second").alias("ratelimit"), "provisioner_info")
+    etag = events.agg(F.max("event_id").alias("etag"))
+    recent = metrics.recent_mean(fx.read(spark, d, "lineitem").select(F.lit(0).alias("server"), "l_shipdate", "l_orderkey", "l_linenumber", F.expr(MS).alias("ms")), ["server"], ["l_shipdate", "l_orderkey", "l_linenumber"], "ms").select(F.col("mean_ms").alias("average_recent_ms"))
+    lat = remote.latencies(_timed(spark, d), exact=True)
+    lat = lat.agg(*[F.max(F.when(F.col("endpoint") == e, F.col(p))).alias(f"{e}_{p}") for e in remote.TIMED for p in ("p50", "p99")])
+    for one in (etag, rate, config, recent, lat):  # one row each
+        queues = queues.crossJoin(F.broadcast(one))
+    return queues
+
+
 # --- values and scalars ----------------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..schemas import LOG, LOG_VERSION, TAGS
 
+
 class BadLog(ValueError):
     pass
 
@@ -31,14 +32,15 @@ def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     rows = lines.withColumn("e", F.from_json("value", LOG)).select("seq", "value", *[F.col(f"e.{t}").alias(t) for t in TAGS])
     rows = rows.withColumns({"tag": tag(), "key": key()})
     if strict:
-        bad = rows.filter("tag IS NULL").select("seq").limit(1).collect()
-        if bad:
-            raise BadLog(f"line {bad[0]['seq']} is not a log record")
-        other = rows.filter(F.col("Header.version") != LOG_VERSION).limit(1).collect()
-        if other:
-            raise BadLog(f"log version {other[0]['Header']['version']}, not {LOG_VERSION}")
-        keys = rows.filter("Header IS NOT NULL").select("Header.workflow_key").distinct().limit(2).collect()
-        if len(keys) > 1:
+        head = F.col("Header").isNotNull()
+        wrong = F.when(head & ~F.col("Header.version").eqNullSafe(LOG_VERSION), F.struct("seq", F.col("Header.version").alias("version")))
+        keys = F.when(head, F.coalesce("Header.workflow_key", F.lit("")))
+        seen = rows.agg(F.min(F.when(F.col("tag").isNull(), F.col("seq"))).alias("bad"), F.min(wrong).alias("other"), F.min(keys).alias("low"), F.max(keys).alias("high")).collect()[0]
+        if seen["bad"] is not None:
+            raise BadLog(f"line {seen['bad']} is not a log record")
+        if seen["other"] is not None:
+            raise BadLog(f"log version {seen['other']['version']}, not {LOG_VERSION}")
+        if seen["low"] != seen["high"]:
             raise BadLog("headers have different workflow keys")
         if not violations(rows).isEmpty():
             raise BadLog("a run's records are out of order")
@@ -46,11 +48,14 @@ def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     return rows.filter("tag IS NOT NULL").drop("value").withColumn("Ready", ready)
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """(seq, value) of text lines with file metadata: a line's file, its split's offset and its place in the split."""
+    return lines.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("seq"), "value")
+
+
 def read_log(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """A log of one or more files, in the order of their names; large files are read in splits."""
-    lines = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
-    seq = F.struct("file", "block", "at")
-    return parse_lines(lines.select(seq.alias("seq"), "value"), strict)
+    return parse_lines(numbered(spark.read.option("wholetext", False).text(path)), strict)
 
 
 def to_lines(rows: DataFrame) -> DataFrame:
@@ -60,8 +65,22 @@ def to_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_log(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Writes records in the order of seq as JSON lines. Appending adds files; one writer at a time."""
-    to_lines(rows).repartitionByRange(1, "seq").sortWithinPartitions("seq").select("value").write.mode(mode).text(path)
+    """Writes records in the order of seq as JSON lines, side by side: ranges of seq go to files whose names have the same
+    order. Each append is a folder of its own, numbered from 1 on, so that names tell the order; one writer at a time."""
+    spark = rows.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    if old and mode == "ignore":
+        return
+    if old and mode in ("error", "errorifexists"):
+        raise FileExistsError(path)
+    if mode == "overwrite":
+        fs.delete(folder, True)
+        old = []
+    last = max((int(x.removeprefix("append=")) for x in old if x.startswith("append=")), default=0)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    to_lines(rows).repartitionByRange(parts, "seq").sortWithinPartitions("seq").select("value").write.text(f"{path}/append={last + 1:09d}")
 
 
 def violations(rows: DataFrame) -> DataFrame:
@@ -94,17 +113,19 @@ def split(rows: DataFrame) -> DataFrame:
     """
     last = rows.agg(F.max(F.when(F.col("tag") == "Header", F.col("seq"))).alias("last"))
     marked = rows.crossJoin(F.broadcast(last))  # one row
-    after = F.col("last").isNull() | (F.col("seq") >= F.col("last"))
-    refs = marked.filter((F.col("tag") == "Backref") & F.col("last").isNotNull() & (F.col("seq") > F.col("last"))).select("key").distinct().withColumn("named", F.lit(True))
-    ready = marked.filter((F.col("tag") == "Ready") & (F.col("seq") < F.col("last"))).groupBy("key").agg(F.max("seq").alias("ready_seq"))
-    tagged = marked.join(refs.join(ready, "key", "left"), "key", "left")
-    own = after & ((F.col("tag") != "Backref") | F.col("last").isNull())
-    again = ~after & F.col("named") & (F.col("tag") != "Backref") & (F.col("seq") >= F.col("ready_seq"))
-    tagged = tagged.withColumn("part", F.when(own | F.coalesce(again, F.lit(False)), "current").when(~after, "outdated"))
-    keys = tagged.filter("part = 'current' AND key IS NOT NULL").select("key").distinct().withColumn("is_current", F.lit(True))
-    final = tagged.join(keys, "key", "left")
-    gone = (F.col("part") == "outdated") & F.col("is_current")
-    return final.withColumn("part", F.when(~F.coalesce(gone, F.lit(False)), F.col("part"))).select(*rows.columns, "part")
+    after, ref = F.col("last").isNull() | (F.col("seq") >= F.col("last")), F.col("tag") == "Backref"
+    own = after & (~ref | F.col("last").isNull())
+    # one row for each key, combined in the tasks
+    keys = marked.filter("key IS NOT NULL").groupBy("key").agg(
+        F.bool_or(own).alias("own"),
+        F.bool_or(ref & F.coalesce(F.col("seq") > F.col("last"), F.lit(False))).alias("named"),
+        F.max(F.when((F.col("tag") == "Ready") & (F.col("seq") < F.col("last")), F.col("seq"))).alias("ready_seq"),
+    )
+    tagged = marked.join(keys, "key", "left")
+    again = ~after & F.col("named") & ~ref & (F.col("seq") >= F.col("ready_seq"))
+    is_current = F.coalesce(F.col("own") | F.col("named") & F.col("ready_seq").isNotNull(), F.lit(False))
+    part = F.when(own | F.coalesce(again, F.lit(False)), "current").when(~after & ~is_current, "outdated")
+    return tagged.withColumn("part", part).select(*rows.columns, "part")
 
 
 def storage_roots(rows: DataFrame, log_dir: str) -> DataFrame:

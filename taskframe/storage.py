@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests) a local folder is made and set."""
+    """spark.checkpoint.dir; where it is unset and all runs in this process (tests) a local folder is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not (master := spark.sparkContext.master).startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="taskframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -133,8 +133,8 @@ def alert_lines(spark, folder: str) -> DataFrame:
 
 
 def log_records(spark, folder: str) -> DataFrame:
-    """A run log as a stream: records of every new file, unknown ones dropped."""
+    """A run log as a stream: records of every new file, unknown ones dropped. seq is a line's file and place in it."""
     from ..sources.runlog import parse_lines
 
-    lines = spark.readStream.text(folder).select(F.col("_metadata.file_path").alias("seq"), "value")
-    return parse_lines(lines)
+    files = spark.readStream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    return parse_lines(files.filter("value <> ''").select(F.struct("file", "at").alias("seq"), "value"))

@@ -26,6 +26,8 @@ def test_closure_levels_and_distances(spark):
     nodes = spark.range(5)
     assert pairs(graph.t_level(e, nodes)) == {(0, 0), (4, 0), (1, 1), (2, 2), (3, 2)}
     assert pairs(graph.b_level(e, nodes)) == {(0, 2), (4, 0), (1, 1), (2, 0), (3, 0)}
+    with pytest.raises(graph.CycleError):
+        graph.closure(edges_of(spark, [(1, 1), (1, 2)]))
     loop = edges_of(spark, [(0, 1), (1, 2), (2, 1)])
     for f in (lambda: graph.closure(loop).count(), lambda: graph.levels(loop, nodes).count()):
         with pytest.raises(graph.CycleError):
@@ -48,6 +50,40 @@ def test_random_graph_outcomes_match_a_plain_run(spark):
     assert graph.order_violations(e, order).count() == 0
 
 
+def test_closure_of_a_random_graph_is_that_of_a_walk(spark):
+    rng = random.Random(12)
+    deps = {i: [j for j in range(i) if rng.random() < 0.08] for i in range(40)}
+    reached: dict = {}
+    for i, d in deps.items():
+        reached[i] = set(d).union(*(reached[j] for j in d))
+    level = {}
+    for i, d in deps.items():
+        level[i] = max((level[j] + 1 for j in d), default=0)
+    e = edges_of(spark, [(j, i) for i, d in deps.items() for j in d])
+    assert pairs(graph.closure(e)) == {(j, i) for i, r in reached.items() for j in r}
+    assert dict(pairs(graph.t_level(e, spark.range(40)))) == level
+
+
+def test_transactions_that_end(spark):
+    from taskframe.operators import remote
+
+    claims = spark.createDataFrame([(7, "a", "j1", 10), (8, "b", "j1", 10)], "transaction long, key string, job string, since long")
+    asked = [(1, "end", 7, "j1", True), (11, "ping", 9, "j1", True), (12, "begun", 7, "j1", True), (13, "begun", 7, None, True), (14, "end", 7, None, True), (15, "end", 7, "j1", False), (16, "end", 7, "j1", True), (17, "end", 7, "j1", True), (18, "begun", 7, "j1", True), (19, "end", 8, "other", True), (20, "end", 8, "j1", True), (21, "ping", 8, None, True), (22, "ping", 8, "j1", False)]
+    got = remote.transaction_replies(spark.createDataFrame(asked, "seq long, endpoint string, transaction long, job string, authorized boolean"), claims)
+    assert {r.seq: (r.code, r.event) for r in got.collect()} == {1: (404, None), 11: (200, None), 12: (200, "Started"), 13: (400, None), 14: (400, None), 15: (401, None), 16: (200, "Finished"), 17: (404, None), 18: (404, None), 19: (404, None), 20: (404, None), 21: (200, None), 22: (401, None)}
+
+
+def test_cancelled_jobs_and_settings(spark):
+    from taskframe.operators import remote
+
+    jobs = lambda *x: spark.createDataFrame([(j,) for j in x], "job string")
+    reply, all_ = remote.mark_cancelled(jobs("a", "b", "c"), jobs("b"), jobs("z"))
+    assert pairs(reply) == {("a",), ("c",)} and pairs(all_) == {("a",), ("c",), ("z",)}
+    said = [(1, 5, "ratelimit", "3"), (2, 6, "ratelimit", "9"), (3, 7, "provisioner_info", "x"), (4, 9, "soft", None), (5, 8, "soft", None), (6, 9, "hard", None)]
+    df = spark.createDataFrame([(0, *x) for x in said], "g int, seq long, at long, kind string, value string")
+    assert remote.settings(df, "g").collect()[0] == (0, 9, "x", True, 8)
+
+
 def test_queue_bits(spark):
     df = spark.createDataFrame([(-(2**63) + 5, 1), (0, 2)], "affinity long, id long")
     assert {r.id: r.q for r in df.select("id", schedule.queues(df.affinity).alias("q")).collect()} == {1: [0, 2, 63], 2: []}
@@ -99,7 +135,8 @@ def test_sessions_of_one_key(spark):
 def test_unknown_lines(spark):
     rows = [header(1), ready("a"), {"Strange": {"key": "a"}}, "not json", ready("b")]
     assert runlog.parse_lines(lines(spark, rows)).count() == 3
-    for bad in (rows, [header(1) | {}, {"Header": header(1)["Header"] | {"version": 3}}], [header(1), {"Header": header(1)["Header"] | {"workflow_key": "x"}}], [header(1), {"Finished": {"key": "a", "status": 0}}]):
+    unversioned = {"Header": {k: v for k, v in header(1)["Header"].items() if k != "version"}}
+    for bad in (rows, [unversioned], [header(1) | {}, {"Header": header(1)["Header"] | {"version": 3}}], [header(1), {"Header": header(1)["Header"] | {"workflow_key": "x"}}], [header(1), {"Finished": {"key": "a", "status": 0}}]):
         with pytest.raises(runlog.BadLog):
             runlog.parse_lines(lines(spark, bad), strict=True)
 
