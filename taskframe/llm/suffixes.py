@@ -25,8 +25,9 @@ from . import common
 from .graphs import FILTER_BITS, filter_bits, key_filter, may_hold
 
 LENGTH, GRAM = 100, 40
-#: Bytes of text hashed at once; bytes of regions in one suffix array; occurrences from which on an anchor is split.
-BATCH_BYTES, SHARD_BYTES, SPLIT = 1 << 20, 3 << 19, 4_096
+#: Bytes of text hashed at once and of regions in one suffix array, both for the processor's cache; bytes of compressed
+#: texts that regions are cut out of at once; occurrences from which on an anchor is split.
+HASH_BYTES, SHARD_BYTES, BATCH_BYTES, SPLIT = 1 << 17, 1 << 16, 1 << 20, 4_096
 _NONE = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -202,7 +203,7 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
     """(rows, their bytes, where they end, where they begin in the text). A long text comes in pieces that share all
     but one byte of a window, so that each window is in one piece and a piece stays below about twice BATCH_BYTES."""
     for whole in batches:
-        for batch in common.slices(whole, column, BATCH_BYTES):
+        for batch in common.slices(whole, column, HASH_BYTES):
             flat, ends = common.text_bytes(batch.column(column))
             if len(ends) > 2 or len(flat) <= 2 * BATCH_BYTES:
                 yield batch, flat, ends, 0
@@ -245,7 +246,7 @@ def repeats(docs: DataFrame, split: int = SPLIT, shard_bytes: int = SHARD_BYTES)
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, names = zstandard.ZstdDecompressor(), ["anchor", "part", "split", "doc", "tie", "start", "bytes"]
         for whole in batches:
-            for batch in common.slices(whole, 2, BATCH_BYTES // 4):
+            for batch in common.slices(whole, 2, BATCH_BYTES):
                 regions_ = batch.column(3)
                 text = [press.decompress(p.as_py()) for p in batch.column(2)]
                 row = np.repeat(np.arange(len(text)), np.asarray(regions_.value_lengths()))

@@ -112,3 +112,38 @@ def test_removed_text(spark):
     assert got[1] == "first " + passage and got[2] == "later end".replace("later", "later") or got[2].startswith("later")
     assert got[3] is None and got[4] == "" and got[5] == "" and got[6] == "clean" and passage not in got[2]
     assert report(df.limit(0)) == Counter() and suffixes.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_split_anchors_and_small_shards_through_spark(spark):
+    rows = corpus()
+    got = suffixes.dedup_report(frame(spark, rows).repartition(3), split=1, shard_bytes=600).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tables_of_windows_meet(seed):
+    rng = np.random.default_rng(seed)
+    pool = np.array(sorted(rng.bytes(100) for _ in range(40)), "S100")
+    tables, first, late = [], {}, Counter()
+    for k in range(7):
+        own = np.sort(rng.choice(40, rng.integers(1, 30), replace=False))
+        t = np.zeros(len(own), suffixes._SORTED)
+        t["doc"], t["tie"], t["start"], t["bytes"] = rng.integers(0, 5, len(own)), k, rng.integers(0, 9, len(own)), pool[own]
+        tables.append(t)
+    everything = np.concatenate(tables)
+    for r in sorted(everything.tolist()):
+        if r[3] in first:
+            late[r[:3]] += 1
+        first.setdefault(r[3], r[:3])
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([0] * 7), pa.array([1] * 7, pa.int32()), pa.array([t.tobytes() for t in tables], pa.binary())], ["anchor", "slot", "windows"])
+    assert Counter((r["doc"], r["tie"], r["start"]) for b in suffixes._merge(iter([batch])) for r in b.to_pylist()) == late
+
+
+def test_a_very_long_text_comes_in_pieces(spark):
+    rng = random.Random(4)
+    own = "".join(rng.choices("abcdefghijklmnop ", k=1_200_000))
+    text = own + own[300_000:300_500] + "".join(rng.choices("qrst", k=1_300_000)) + own[1_040_000:1_060_000]
+    rows = [(1, text), (2, own[1_048_000:1_050_000])]
+    assert report(frame(spark, rows)) == brute(rows)
