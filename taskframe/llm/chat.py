@@ -8,14 +8,17 @@ written `<|nl|>`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
 START, END, SEP, NEWLINE = "<|im_start|>", "<|im_end|>", "<|im_sep|>", "<|nl|>"
 PROBE = "<|im_end|><|im_start|>assistant ok"
+#: Elements that are summed up at once.
+CHUNK = 256
 
 
 def escape(text: Column) -> Column:
@@ -26,47 +29,76 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
+def _before(sizes: Column) -> Column:
+    """For an array of struct(chars, bytes): the sums of all that stand before each element. Runs of CHUNK elements are
+    summed one by one, and so are the runs, as an array that grows by one element is copied each time."""
+
+    def sums(values: Column) -> Column:
+        start = F.struct(F.expr("CAST(array() AS ARRAY<STRUCT<chars: BIGINT, bytes: BIGINT>>)").alias("all"), F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("bytes")).alias("now"))
+        return F.aggregate(values, start, lambda acc, x: F.struct(F.concat(acc["all"], F.array(acc["now"])).alias("all"), _plus(acc["now"], x).alias("now")), lambda acc: acc["all"])
+
+    zero = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("bytes"))
+    runs = lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / CHUNK).cast("int") - 1), lambda k: F.slice(v, k * CHUNK + 1, CHUNK))
+    total = lambda r: F.aggregate(r, zero, _plus)
+    base = lambda r: sums(F.transform(r, total))
+    return _once(sizes, lambda v: _once(runs(v), lambda r: F.flatten(F.zip_with(r, base(r), lambda run, first: F.transform(sums(run), lambda x: _plus(x, first))))))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.struct((a["chars"] + b["chars"]).alias("chars"), (a["bytes"] + b["bytes"]).alias("bytes"))
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans, loss_turns.
 
     `turns` has conv_id, turn, role, text; other columns are ignored. Turns go by turn number, nulls first; ties go by
     role, then text, and repeated rows stay. Null roles and texts count as empty; a null conv_id is a conversation
-    like any other. loss_spans holds start (from 0) and length in code points of each text of the trained role inside
-    `formatted`; loss_turns marks the same turns by a boolean each. An empty table gives no rows.
+    like any other. loss_spans holds where each text of the trained role stands inside `formatted`: start (from 0) and
+    length in code points, byte_start and byte_length in UTF-8; loss_turns marks the same turns by a boolean each. An
+    empty table gives no rows.
 
-    One shuffle by conv_id: block numbers and offsets are window sums over the same partitioning, texts are merged by
-    collecting each block, then blocks are sorted and joined.
+    One shuffle by conv_id: turns are collected as structs and sorted; a turn that has the role of the one before it
+    goes on with its block, others open one; spans are sums over the array.
     """
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
-    rows = rows.withColumns({"n": F.row_number().over(by), "new": F.coalesce(F.lag("role").over(by) != F.col("role"), F.lit(True)), "body": escape(F.col("text")), "head": head})
-    lead = F.when(F.col("new"), F.length("head") + F.when(F.col("n") > 1, len(END) + 1).otherwise(0)).otherwise(len(SEP))
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"block": F.sum(F.col("new").cast("int")).over(upto), "stop": F.sum(lead + F.length("body")).over(upto)})
-    rows = rows.withColumn("span", F.struct((F.col("stop") - F.length("body")).cast("int").alias("start"), F.length("body").alias("length")))
-    collected = F.array_sort(F.collect_list(F.struct("n", "body", "span")))
-    blocks = rows.groupBy("conv_id", "block", "head").agg(collected.alias("turns"), F.first(F.col("role") == trained_role).alias("trained"))
-    joined = F.concat("head", F.array_join(F.transform("turns", lambda t: t["body"]), SEP), F.lit(f"{END}\n"))
-    blocks = blocks.select("conv_id", F.struct("block", joined.alias("written"), F.when(F.col("trained"), F.transform("turns", lambda t: t["span"])).otherwise(F.array()).alias("spans"), F.transform("turns", lambda t: F.col("trained")).alias("loss")).alias("b"))
-    whole = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
-    return whole.select(
+    rows = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    head = lambda x: F.concat(F.lit(START), F.replace(escape(x["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
+    opens = lambda x, before: F.coalesce(before["role"] != x["role"], F.lit(True))
+    lead = lambda x, i, before: F.when(opens(x, before), F.concat(F.when(i > 0, f"{END}\n").otherwise(""), head(x))).otherwise(SEP)
+    merged = lambda t: F.transform(t, lambda x, i: F.struct(lead(x, i, F.get(t, i - 1)).alias("lead"), escape(x["text"]).alias("body"), (x["role"] == trained_role).alias("loss")))
+    parts = whole.select("conv_id", _once(F.col("t"), merged).alias("p"))
+    size = lambda x, of: of(x["lead"]).cast("long") + of(x["body"])
+    sizes = F.transform("p", lambda x: F.struct(size(x, F.length).alias("chars"), size(x, F.octet_length).alias("bytes")))
+    span = lambda x, at: F.struct((at["chars"] + F.length(x["lead"])).alias("start"), F.length(x["body"]).cast("long").alias("length"), (at["bytes"] + F.octet_length(x["lead"])).alias("byte_start"), F.octet_length(x["body"]).cast("long").alias("byte_length"))
+    spans = F.zip_with("p", _before(sizes), lambda x, at: F.when(x["loss"], span(x, at)))
+    return parts.select(
         "conv_id",
-        F.array_join(F.transform("b", lambda b: b["written"]), "").alias("formatted"),
-        F.flatten(F.transform("b", lambda b: b["spans"])).alias("loss_spans"),
-        F.flatten(F.transform("b", lambda b: b["loss"])).alias("loss_turns"),
+        F.concat(F.array_join(F.transform("p", lambda x: F.concat(x["lead"], x["body"])), ""), F.lit(f"{END}\n")).alias("formatted"),
+        F.array_compact(spans).alias("loss_spans"),
+        F.transform("p", lambda x: x["loss"]).alias("loss_turns"),
     )
 
 
+def loss_texts(formatted: DataFrame) -> Column:
+    """The texts under the loss mask, cut out of `formatted` by loss_spans."""
+    cut = lambda raw: F.transform("loss_spans", lambda s: unescape(F.substring(raw, (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int")).cast("string")))
+    return _once(formatted["formatted"].cast("binary"), cut)
+
+
 def parse_conversations(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (array of role, text, loss) read back from what format_conversations gives."""
+    """conv_id, formatted, loss_spans, turns (array of role, text, loss) read back from what format_conversations gives."""
     parts = F.split("formatted", r"<\|im_start\|>")
-    raw = F.slice(parts, F.lit(2), F.size(parts))
+    raw = _once(parts, lambda p: F.slice(p, F.lit(2), F.size(p)))
     role = lambda b: unescape(F.replace(F.substring_index(b, "\n", 1), F.lit(NEWLINE), F.lit("\n")))
     body = lambda b: F.substring_index(F.substr(b, F.instr(b, F.lit("\n")) + 1), END, 1)
     turns = F.flatten(F.transform(raw, lambda b: F.transform(F.split(body(b), r"<\|im_sep\|>", -1), lambda t: F.struct(role(b).alias("role"), unescape(t).alias("text")))))
-    return formatted.select("conv_id", "formatted", F.zip_with(turns, "loss_turns", lambda t, loss: F.struct(t["role"].alias("role"), t["text"].alias("text"), loss.alias("loss"))).alias("turns"))
+    return formatted.select("conv_id", "formatted", "loss_spans", F.zip_with(turns, "loss_turns", lambda t, loss: F.struct(t["role"].alias("role"), t["text"].alias("text"), loss.alias("loss"))).alias("turns"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +108,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = parse_conversations(format_conversations(turns))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
-    return back.select(
+    loss = F.array_join(loss_texts(back), "")
+    measured = _once(loss, lambda x: F.struct(F.length(x).cast("long").alias("chars"), F.sha2(x.cast("binary"), 256).alias("sha256")))
+    return back.select("conv_id", "formatted", F.size("turns").alias("n"), F.sha2(said.cast("binary"), 256).alias("said"), measured.alias("loss")).select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.col("n").cast("long").alias("n_turns"),
+        F.col("said").alias("turns_sha256"),
+        F.col("loss.chars").alias("loss_chars"),
+        F.col("loss.sha256").alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

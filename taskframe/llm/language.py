@@ -1,7 +1,7 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Features are the hashed runs of 2 and 3 characters of the lower-case text, and its single characters. The model is the
-matrix of log-probabilities, places by languages; scoring adds up its rows at the places a text has, with numpy.
+matrix of log-probabilities, places by languages; scoring adds up its entries at the places a text has, with numpy.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .features import BATCH_BYTES, characters, per_row
 from .toxicity import crc_fold
 
 BITS, ORDERS, SMOOTHING = 16, (1, 2, 3), 0.5
-#: The documented bound of the training sample: most documents of each language, and most languages.
-MOST_DOCS, MOST_LANGS = 4_000, 256
+#: The documented bound of the training sample: most documents of each language.
+MOST_DOCS = 4_000
 UNKNOWN = "und"
 
 
@@ -29,7 +29,7 @@ UNKNOWN = "und"
 class Model:
     langs: list[str]
     log_prior: np.ndarray
-    log_prob: np.ndarray  # places by languages
+    log_prob: np.ndarray  # places by languages; 512 KB a language
 
 
 def places(code: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -47,13 +47,12 @@ def places(code: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 
 def train(docs: DataFrame) -> Model:
-    """Learns from docs(doc_id, text, lang). Rows with null text, lang or doc_id are ignored. About MOST_DOCS rows
-    of each language at most, picked by a hash of doc_id; beyond MOST_LANGS languages the least frequent are left out.
-    """
+    """Learns every language of docs(doc_id, text, lang). Rows with null text, lang or doc_id are ignored. About
+    MOST_DOCS rows of each language at most, picked by a hash of doc_id."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     known = known.withColumn("rank", F.xxhash64("doc_id"))
     # the rank up to which a language's rows are taken, from the ids alone; a hash spreads them evenly
-    count = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGS).collect()
+    count = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     if not count:
         return Model([], np.zeros(0), np.zeros((1 << BITS, 0)))
     langs = sorted(r["lang"] for r in count)
@@ -63,23 +62,25 @@ def train(docs: DataFrame) -> Model:
     number = {k: i for i, k in enumerate(langs)}
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), 1 << BITS), np.int64)
         for whole in batches:
             for batch in common.slices(whole, 0, BATCH_BYTES):
                 lang = np.array([number[x.as_py()] for x in batch.column(1)])
                 code, ends = characters(batch.column(0))
                 of = np.repeat(lang, np.diff(ends))
-                for place, inside in places(code, ends):
-                    total += np.bincount((of[: len(place)] << BITS | place)[inside], minlength=total.size).reshape(total.shape)
-        lang, place = np.nonzero(total)
-        yield pa.record_batch([pa.array(lang), pa.array(place), pa.array(total[lang, place])], ["lang", "place", "n"])
-
-    got = sample.mapInArrow(count_grams, "lang long, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((1 << BITS, len(langs)))
-    counts[got.place.to_numpy(int), got.lang.to_numpy(int)] = got.n
-    counts += SMOOTHING
+                key, n = np.unique(np.concatenate([(of[: len(place)] << BITS | place)[inside] for place, inside in places(code, ends)]), return_counts=True)
+                yield pa.record_batch([pa.array(key), pa.array(n)], ["key", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([np.asarray(c, "<i8").tobytes()], pa.binary()) for c in batch.columns], ["keys", "counts"])
+
+    counts = np.full(len(langs) << BITS, SMOOTHING)
+    totals = sample.mapInArrow(count_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    for row in totals.mapInArrow(pack, "keys binary, counts binary").collect():  # at most 2**BITS counts a language
+        counts[np.frombuffer(row.keys, "<i8")] += np.frombuffer(row.counts, "<i8")
+    counts = counts.reshape(len(langs), -1)
     seen = np.array([dict((r["lang"], r["n"]) for r in count)[k] for k in langs], float)  # priors count all rows
-    return Model(langs, np.log(seen / seen.sum()), np.log(counts / counts.sum(0)))
+    return Model(langs, np.log(seen / seen.sum()), np.log(counts / counts.sum(1, keepdims=True)).T)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -88,11 +89,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Null text, or no letter in it: `und`, score 0; so is everything where nothing was learned. Ties go to the language
     that is first in alphabetical order. Rows with null or repeated doc_id are kept; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS by at most MOST_LANGS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 512 KB a language
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.langs, UNKNOWN], object)
+        columns = np.ascontiguousarray(m.log_prob.T)
         for whole in batches:
             for batch in common.slices(whole, 1, BATCH_BYTES):
                 texts = pc.fill_null(batch.column(1), "")
@@ -103,7 +105,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     for place, inside in places(code, ends):
                         stop = np.minimum(ends, len(place))
                         for k in range(len(m.langs)):
-                            total[:, k] += per_row(np.where(inside, m.log_prob[:, k][place], 0.0), stop)
+                            total[:, k] += per_row(np.where(inside, columns[k][place], 0.0), stop)
                     best = total.argmax(1)
                     p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                     none = ~np.asarray(pc.match_substring_regex(texts, r"\p{L}"), bool)

@@ -23,8 +23,8 @@ from . import common
 SHARD, DEGREE, DEGREE_LOW, BEAM_BUILD, BEAM_SEARCH = 4_096, 16, 32, 64, 160
 #: Nodes inserted, or queries searched, side by side; nodes of the beam that a step looks behind.
 BATCH, EXPAND = 256, 4
-#: Queries in a block; every block meets every shard.
-BLOCK = 2_048
+#: Queries in a block; every block meets every shard. Most tasks of a search.
+BLOCK, MOST_TASKS = 2_048, 10_000
 
 
 @dataclass
@@ -179,7 +179,7 @@ def usable(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def build_index(rows: DataFrame, most_ids: int, id_column: str = "vec_id", vector_column: str = "embedding", shard: int = SHARD) -> DataFrame:
-    """(dims, vectors, ids, layers) of every shard, written to the shared folder.
+    """(dims, shard, vectors, ids, ends, layers) of every shard, written to the shared folder.
 
     Equal vectors are one node, which carries the `most_ids` smallest of its ids: enough for any answer of one result
     less. Ids are cut down in every task before the shuffle, so that a very common vector stays small. Vectors of
@@ -211,7 +211,7 @@ def build_index(rows: DataFrame, most_ids: int, id_column: str = "vec_id", vecto
             g = build(v)
             flat = np.concatenate([x for _, x in held]).astype("<i8")
             ends = np.cumsum([0] + [len(x) for _, x in held]).astype("<i8")
-            return pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int64()), pa.array([v.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary()), pa.array([[x.astype("<i4").tobytes() for x in g.layers]], pa.list_(pa.binary()))], names=["dims", "vectors", "ids", "ends", "layers"])
+            return pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int64()), pa.array([of[1]], pa.int64()), pa.array([v.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary()), pa.array([[x.astype("<i4").tobytes() for x in g.layers]], pa.list_(pa.binary()))], names=["dims", "shard", "vectors", "ids", "ends", "layers"])
 
         for batch in batches:
             for size, part, v, own in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4))):
@@ -225,7 +225,7 @@ def build_index(rows: DataFrame, most_ids: int, id_column: str = "vec_id", vecto
 
     shards = max(1, sum(-(-r["n"] // shard) for r in count))
     dealt = dealt.select("size", "part", "mix", "v", "ids").repartition(shards, "size", "part").sortWithinPartitions("size", "part", "mix", "v")
-    index, _ = common.kept(dealt.mapInArrow(graphs, "dims long, vectors binary, ids binary, ends binary, layers array<binary>"), "index", "none")
+    index, _ = common.kept(dealt.mapInArrow(graphs, "dims long, shard long, vectors binary, ids binary, ends binary, layers array<binary>"), "index", "none")
     return index
 
 
@@ -243,7 +243,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_
                 some = np.flatnonzero(dims == d)
                 for at in range(0, len(some), BLOCK):
                     part = batch.take(pa.array(some[at : at + BLOCK]))
-                    yield pa.record_batch([pa.array([int(d)]), pa.array([np.asarray(part.column(0), "<i8").tobytes()], pa.binary()), pa.array([np.asarray(part.column(1).flatten(), "<f8").tobytes()], pa.binary())], ["q_dims", "q_ids", "q_vectors"])
+                    yield pa.record_batch([pa.array([int(d)]), pa.array([np.asarray(part.column(0), "<i8").tobytes()], pa.binary()), pa.array([np.asarray(part.column(1).flatten(), "<f8").tobytes()], pa.binary())], ["dims", "q_ids", "q_vectors"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,10 +269,16 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_
                 best = place < k
                 yield pa.record_batch([pa.array(q_id[row[best]]), pa.array(near[best]), pa.array(exact[best])], ["query_id", "vec_id", "score"])
 
-    # a stated set of queries against all shards, in blocks
-    packed = asked.mapInArrow(blocks, "q_dims long, q_ids binary, q_vectors binary")
-    pairs = index.join(packed, F.col("dims") == F.col("q_dims"))
-    pairs = pairs.select("vectors", "ids", "ends", "layers", "dims", "q_ids", "q_vectors").select("dims", "vectors", "ids", "ends", "layers", "q_ids", "q_vectors")
+    # a stated set of queries against all shards, in blocks: each block goes to every shard by the shard's number
+    spark = index.sparkSession
+    packed, _ = common.kept(asked.mapInArrow(blocks, "dims long, q_ids binary, q_vectors binary"), "queries", "none")
+    shards = {r["dims"]: r["n"] for r in index.groupBy("dims").agg((F.max("shard") + 1).alias("n")).collect()}  # a row per length
+    n_blocks = packed.count()
+    last = F.create_map(*[F.lit(x) for d, n in shards.items() for x in (d, n - 1)]) if shards else F.create_map(F.lit(0), F.lit(0))
+    sent = packed.withColumn("last", F.element_at(last, F.col("dims"))).filter("last IS NOT NULL").select("dims", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).cast("long").alias("shard"), "q_ids", "q_vectors")
+    tasks = max(common.shuffle_partitions(spark), min(sum(shards.values()) * max(n_blocks, 1), MOST_TASKS))
+    pairs = index.repartition(tasks, "dims", "shard").hint("merge").join(sent.repartition(tasks, "dims", "shard"), ["dims", "shard"])
+    pairs = pairs.select("dims", "vectors", "ids", "ends", "layers", "q_ids", "q_vectors")
     found = pairs.mapInArrow(find, "query_id long, vec_id long, score double").distinct()
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

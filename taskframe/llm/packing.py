@@ -1,8 +1,8 @@
 """Packing by power-of-two decomposition.
 
 A document of n ids is cut into pieces of power-of-two lengths: as many of `longest` as fit, then one piece for each
-bit of the rest, large first. Pieces of one length share a bucket, and every piece is a sequence by itself, so no
-sequence crosses documents, none is padded, and a batch drawn from one bucket is rectangular.
+bit of the rest, large first. Pieces of one length share a bucket and are written to its folder, and every piece is a
+sequence by itself, so no sequence crosses documents, none is padded, and a batch drawn from one bucket is rectangular.
 """
 
 from __future__ import annotations
@@ -74,5 +74,20 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int |
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Writes pieces so that those of one length stand together: a folder `bucket=<length>` for each."""
+    packed.write.partitionBy("bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
+    """The written pieces, or those of one bucket, of which every batch is rectangular; other folders are not read."""
+    rows = spark.read.parquet(path).withColumn("bucket", F.col("bucket").cast("long"))
+    return rows if length is None else rows.filter(F.col("bucket") == length)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.table(spark, sf_dir, "documents"), common.tokenizer_path(common.WORD_TOKENIZER), ids=False).drop("bucket")
+    """All documents' pieces, read back from their buckets."""
+    path = common.scratch(spark, "buckets")
+    packed = pack(common.table(spark, sf_dir, "documents"), common.tokenizer_path(common.WORD_TOKENIZER), ids=False)
+    write_buckets(packed, path)
+    return read_buckets(spark, path).select(*packed.columns)

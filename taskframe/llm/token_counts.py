@@ -1,6 +1,7 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table of (version, digest, n_tokens). A text's digest is the SHA-256 of its normalised content:
+The cache is a Parquet table of (version, digest, n_tokens); a file holds one version, so others are skipped by their
+statistics. A text's digest is the SHA-256 of its normalised content:
 null becomes empty, then UTF-8 bytes, nothing else, since any further change could change the count. The version is a
 digest of the tokenizer file and of how it is applied. Texts are joined to the stored counts by both; only distinct
 misses are encoded, and appended.
@@ -81,12 +82,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
             if digests:
                 yield done()
 
-    misses = rows.select("digest", "text")
+    parts = common.shuffle_partitions(spark)
+    sent = rows.select("digest", "text").mapInArrow(send, "digest binary, packed binary").repartition(parts, "digest")
     known = stored(spark, cache, version)
     if not known.isEmpty():
-        misses = misses.join(known.select("digest"), "digest", "left_anti")
-    sent = misses.mapInArrow(send, "digest binary, packed binary")
-    fresh = sent.repartition(common.shuffle_partitions(spark), "digest").mapInArrow(encode, "digest binary, n_tokens long")
+        sent = sent.hint("merge").join(known.select("digest").repartition(parts, "digest"), "digest", "left_anti")
+    fresh = sent.mapInArrow(encode, "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     common.release(spark)
     counts = stored(spark, cache, version)

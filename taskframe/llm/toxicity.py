@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from . import common
 from .features import BATCH_BYTES, Words
@@ -22,6 +23,8 @@ from .features import BATCH_BYTES, Words
 BITS = 20
 #: The documented bound of the training sample: most rows of each label, picked by a hash of doc_id.
 MOST_TOXIC, MOST_CLEAN = 6_000, 12_000
+#: And most bytes of their features, 4 each: rows are taken in the order of the hash until these are full.
+MOST_BYTES = 512 << 20
 #: Learning rate, its offset, L1, L2 and passes: strong L1 and many passes keep few, large weights.
 ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 5.0, 0.01, 15
 THRESHOLD = 0.3
@@ -93,13 +96,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["rank", "toxic", "places"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r.as_py(), t.as_py(), p.as_py()) for b in batches for r, t, p in zip(*b.columns))
-        w, bias = fit([np.frombuffer(p, "<u4") for *_, p in rows], np.array([t for _, t, _ in rows]))
+        rows, labels, size = [], [], 0
+        for b in batches:
+            for t, p in zip(b.column(1), b.column(2)):
+                if size <= MOST_BYTES:
+                    rows.append(np.frombuffer(p.as_py(), "<u4"))
+                    labels.append(t.as_py())
+                    size += rows[-1].nbytes
+        w, bias = fit(rows, np.array(labels))
         at = np.flatnonzero(w)
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias))], ["place", "weight"])
 
     one = texts.groupBy("doc_id", "toxic", "rank").agg(F.min("text").alias("text")).select("rank", "toxic", "text")
-    got = one.mapInArrow(extract, "rank long, toxic int, places binary").repartition(1).mapInArrow(learn, "place long, weight double").toPandas()
+    got = one.mapInArrow(extract, "rank long, toxic int, places binary").repartition(1).sortWithinPartitions("rank", "toxic", "places").mapInArrow(learn, "place long, weight double").toPandas()
     bias = got[got.place < 0].weight
     got = got[got.place >= 0].sort_values("place")
     return Model(got.place.to_numpy(), got.weight.to_numpy(), float(bias.iloc[0]) if len(bias) else -35.0)
@@ -112,8 +121,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: lis
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS weights
     docs = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_scored"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in ["doc_id", *keep]) + ", score double, predicted int"
+    schema = StructType([docs.schema[c] for c in ["doc_id", *keep]]).add("score", DoubleType()).add("predicted", IntegerType())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

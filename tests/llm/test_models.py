@@ -103,3 +103,86 @@ def test_chat_query(spark):
     assert got[-1].n_turns == 2 and got[-1].loss_chars == len(probe)
     assert got[-1].turns_sha256 == hashlib.sha256(f"user\n{probe}\nassistant\n{probe}\n".encode()).hexdigest()
     assert got[-1].loss_sha256 == hashlib.sha256(probe.encode()).hexdigest()
+
+
+def test_fit_is_the_scalar_method():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(0, 12))) for _ in range(80)]
+    labels = np.array([int(3 in r) if rng.random() < 0.9 else 1 for r in rows])
+    z, n = {}, {}
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        l1 = 0.0 if i == "bias" else toxicity.L1
+        if abs(zi) <= l1:
+            return 0.0
+        return ((l1 if zi > 0 else -l1) - zi) / ((toxicity.BETA + ni**0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.PASSES):
+        for k in order.permutation(len(rows)):
+            active = [*rows[k].tolist(), "bias"]
+            w = {i: weight(i) for i in active}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[k]
+            for i in active:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got, bias = toxicity.fit(rows, labels)
+    assert abs(bias - weight("bias")) < 1e-9 and (got != 0).sum() > 0
+    assert all(abs(got[i] - weight(i)) < 1e-9 for i in range(40)) and not got[40:].any()
+
+
+def test_predict_is_the_scalar_method(spark):
+    texts = [("de", "der hund und die katze"), ("de", "das ist ein haus"), ("en", "the dog and the cat"), ("en", "this is a house"), ("en", "THE end"), ("fr", "le chien et le chat")]
+    df = spark.createDataFrame([(i, t, lang, "", "") for i, (lang, t) in enumerate(texts)], SCHEMA)
+    model = language.train(df)
+
+    def grams(text):
+        code = [ord(c) for c in text.lower()]
+        for k in language.ORDERS:
+            for i in range(len(code) - k + 1):
+                h = k
+                for c in code[i : i + k]:
+                    h = (h ^ c) * 0x01000193 % 2**32
+                    h ^= h >> 15
+                yield h * 0x85EBCA6B % 2**32 >> 32 - language.BITS
+
+    langs, counts, prior = sorted({x for x, _ in texts}), {}, {}
+    for lang, t in texts:
+        prior[lang] = prior.get(lang, 0) + 1
+        for p in grams(t):
+            counts[lang, p] = counts.get((lang, p), 0) + 1
+    total = {x: sum(v for (y, _), v in counts.items() if y == x) + language.SMOOTHING * 2**language.BITS for x in langs}
+    asked = ["the cat", "ein hund", "le chat", "x", "", "und die"]
+    rows = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(asked)], SCHEMA)
+    got = {r.doc_id: r for r in language.predict(rows, model).collect()}
+    for i, t in enumerate(asked):
+        if not t:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        score = [np.log(prior[x] / len(texts)) + sum(np.log((counts.get((x, p), 0) + language.SMOOTHING) / total[x]) for p in grams(t)) for x in langs]
+        best = int(np.argmax(score))
+        assert got[i].lang_pred == langs[best] and abs(got[i].score - 1 / np.exp(np.array(score) - score[best]).sum()) < 1e-4
+
+
+def test_three_hundred_languages(spark):
+    rng, rows = random.Random(5), []
+    for k in range(300):
+        letters = [chr(0x4E00 + 7 * k + j) for j in range(7)]
+        rows += [(10 * k + i, "".join(rng.choices(letters, k=40)), f"l{k:03d}", "", "") for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = language.train(df.filter("doc_id % 10 < 2"))
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, model).collect()}
+    assert len(model.langs) == 300 and np.mean([got[i] == lang for i, _, lang, _, _ in rows if i % 10 == 2]) > 0.99
+
+
+def test_long_conversations_and_spans_in_bytes(spark):
+    rng = random.Random(6)
+    rows = [(1, t, rng.choice(["user", "assistant"]), rng.choice(["é<|x", "日本", "plain", ""]) * rng.randint(0, 3)) for t in range(1500)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = made.withColumn("said", chat.loss_texts(made)).collect()[0]
+    want = [t for _, _, role, t in rows if role == "assistant"]
+    raw = r.formatted.encode()
+    assert r.said == want and [s.start for s in r.loss_spans] == [len(raw[: s.byte_start].decode()) for s in r.loss_spans]
+    assert all(r.formatted[s.start : s.start + s.length].encode() == raw[s.byte_start : s.byte_start + s.byte_length] for s in r.loss_spans)

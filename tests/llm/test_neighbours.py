@@ -65,3 +65,21 @@ def test_recall_on_test_embeddings(spark):
         d[ids == q] = np.inf
         hits.append(len(found & set(ids[np.argsort(d)[:10]])) / 10)
     assert len(hits) == 100 and np.mean(hits) > 0.95
+
+
+def test_recall_at_default_parameters(spark):
+    rng = np.random.default_rng(4)
+    vectors = np.concatenate([rng.normal(size=(5000, 24)), rng.normal(size=(30, 24))[rng.integers(0, 30, 4000)] * 2 + rng.normal(size=(4000, 24)) * 0.3]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), 1, "x", 2) for i, v in enumerate(vectors)], SCHEMA)
+    index = neighbours.build_index(df, 11)
+    got = {}
+    for r in neighbours.nearest(index, df.filter("vec_id % 50 = 0"), 10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert index.count() == 3 and sorted(r.shard for r in index.select("shard").collect()) == [0, 1, 2]
+    hits = []
+    for q, found in got.items():
+        d = ((vectors - vectors[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len(found & set(np.argsort(d)[:10].tolist())) / 10)
+    print("recall", np.mean(hits))
+    assert len(hits) == 180 and np.mean(hits) > 0.98

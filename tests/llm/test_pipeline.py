@@ -84,3 +84,35 @@ def test_empty_table(spark, tmp_path):
     for t in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}").count() == 0
+
+
+def test_clashing_columns_and_odd_rows(spark, tmp_path):
+    more = ["score", "predicted", "_id", "_key", "_doc", "_tie", "row", "key", "doc", "tie", "kept", "keeper", "again", "nth", "long", "bands"]
+    text = "a text of some words that stands here twice and is long enough to be cut where it comes again, word for word, in full"
+    rows = [(1, text), (1, text), (None, text + " and more words after it, many more than before"), (None, None), (None, None), (2, ""), (2, ""), (3, "!!"), (3, "other words"), (4, "x" * 150), (4, "x" * 150), (5, "short")]
+    values = [(i, t, "en", "s", len(t or ""), *[f"{c}{n}" for c in more]) for n, (i, t) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in more)
+    spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such passage stands in any text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, 0), (3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, at = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, common.kept(stage(spark, docs, f"{tmp_path}"), "stage")[0]
+        assert docs.columns == before.columns
+        at[name] = docs.collect()
+        # a row's other columns stay with it
+        assert all(len({r[c].removeprefix(c) for c in more}) == 1 for r in at[name])
+    assert len(at["toxicity"]) == len(rows)
+    kept = at["minhash_near_dedup"]
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "None", "None", "None", "2", "2", "3", "3", "4", "5"]) and len(at["benchmark_decontamination"]) == len(kept)
+    cut_ = {(r.doc_id, r.text) for r in at["suffix_array_dedup"]}
+    assert (1, text) in cut_ and (None, " and more words after it, many more than before") in cut_
+
+
+def test_repeated_rows_lose_their_text(spark):
+    from taskframe.llm import suffixes
+
+    text = "".join(random.Random(3).choices("abcdefgh ", k=300))
+    df = spark.createDataFrame([(7, text, k) for k in range(3)] + [(7, "short", 3), (7, "short", 4)], "doc_id long, text string, k int")
+    got = suffixes.remove_repeats(df).collect()
+    assert sorted(r.k for r in got) == [0, 1, 2, 3, 4] and sorted(r.text for r in got) == sorted(["", "", text, "short", "short"])
