@@ -15,9 +15,8 @@ from taskframe.llm import common, decontaminate, near_dups, packing, suffixes, t
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold by a model that learns from all of `labels`."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    scored = toxicity.score(docs.withColumn("_id", F.col("doc_id")), model, keep=["_id", *[c for c in columns if c != "doc_id"]])
-    return scored.filter("predicted = 0").select(*[F.col("_id").alias("doc_id") if c == "doc_id" else F.col(c) for c in columns])
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return toxicity.score(rows, model, keep=["row"]).filter("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
