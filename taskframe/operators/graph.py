@@ -1,15 +1,18 @@
 """Analytics on task graphs: edges (src, dst) say that dst needs src.
 
 Recursion is a driver loop over DataFrames. Each round joins a frontier to the edges and is written to the shared
-folder; the loop ends when a round adds nothing. The number of rounds is the depth of the graph.
+folder, which counts it; the loop ends when a round adds nothing. The number of rounds is the depth of the graph.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..storage import kept, release, remove
+from ..storage import counted, kept, release, remove
+
+#: Rounds after which a loop's rows are written as one table.
+COMPACT = 12
 
 
 class CycleError(ValueError):
@@ -26,20 +29,34 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
+class _Rounds:
+    """The rows of all rounds of a loop. Now and then they are written as one table, so that plans stay short."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.n, self.path = rows, 0, None
+
+    def add(self, rows: DataFrame) -> None:
+        self.rows, self.n = self.rows.unionByName(rows), self.n + 1
+        if self.n % COMPACT == 0:
+            old = self.path
+            self.rows, self.path = kept(self.rows, "rounds")
+            if old:
+                remove(self.rows.sparkSession, old)
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, distance) of all nodes reachable from start(id), those at distance 0 included, up to `depth` steps."""
     spark = edges.sparkSession
-    front, _ = kept(start.select("id").distinct(), "front")
-    seen, distance = front.withColumn("distance", F.lit(0)), 0
-    while depth is None or distance < depth:
+    front, n, _ = counted(start.select("id").distinct(), "front")
+    seen, distance = _Rounds(front.withColumn("distance", F.lit(0))), 0
+    while n and (depth is None or distance < depth):
         distance += 1
         step = front.join(edges, front.id == edges.src).select(F.col("dst").alias("id")).distinct()
-        front, _ = kept(step.join(seen.select("id"), "id", "left_anti"), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front.withColumn("distance", F.lit(distance)))
+        front, n, _ = counted(step.join(seen.rows.select("id"), "id", "left_anti"), "front")
+        if n:
+            seen.add(front.withColumn("distance", F.lit(distance)))
     release(spark)
-    return seen
+    return seen.rows
 
 
 def at_distance(edges: DataFrame, source: int, distance: int) -> DataFrame:
@@ -52,18 +69,20 @@ def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) for every path. Semi-naive: each round extends only the pairs found in the last one."""
     spark = edges.sparkSession
     edges, _ = kept(edges.select("src", "dst").distinct(), "edges")
-    if not edges.filter("src = dst").isEmpty():
+    loops = F.count_if(F.col("src") == F.col("dst")).alias("loops")
+    if edges.agg(loops).collect()[0].loops:
         raise CycleError("the graph has a cycle")
-    new, all_ = edges, edges
+    new, all_ = edges, _Rounds(edges)
     while True:
         step = new.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        new, _ = kept(step.join(all_, ["src", "dst"], "left_anti"), "closure")
-        if new.isEmpty():
+        seen = Observation()
+        new, _ = kept(step.join(all_.rows, ["src", "dst"], "left_anti").observe(seen, F.count(F.lit(1)).alias("n"), loops), "closure")
+        if not seen.get["n"]:
             release(spark)
-            return all_
-        if not new.filter("src = dst").isEmpty():
+            return all_.rows
+        if seen.get["loops"]:
             raise CycleError("the graph has a cycle")
-        all_ = all_.unionByName(new)
+        all_.add(new)
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -80,32 +99,35 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         return _peeled(edges, nodes)
     step = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
     level = 0
-    front, _ = kept(nodes.select("id").distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti"), "level")
-    seen = front.withColumn("level", F.lit(0))
-    while not front.isEmpty():
+    front, n, _ = counted(nodes.select("id").distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti"), "level")
+    seen = _Rounds(front.withColumn("level", F.lit(0)))
+    while n:
         level += 1
-        front, _ = kept(front.join(step, front.id == step.src).select(F.col("dst").alias("id")).distinct(), "level")
-        seen = seen.unionByName(front.withColumn("level", F.lit(level)))
+        front, n, _ = counted(front.join(step, front.id == step.src).select(F.col("dst").alias("id")).distinct(), "level")
+        if n:
+            seen.add(front.withColumn("level", F.lit(level)))
     release(spark)
-    return seen.groupBy("id").agg(F.max("level").alias("level"))
+    return seen.rows.groupBy("id").agg(F.max("level").alias("level"))
 
 
 def _peeled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rounds place the nodes whose dependencies are all placed. A round that places none while nodes are left proves a
     cycle."""
     spark = nodes.sparkSession
-    left = nodes.select("id")
-    placed, level, old = None, 0, None
+    left, placed, level, old = nodes.select("id"), None, 0, None
     while True:
         blocked = edges.select(F.col("dst").alias("id"))
-        free, _ = kept(left.join(blocked, "id", "left_anti"), "level")
-        if free.isEmpty():
+        free, n, _ = counted(left.join(blocked, "id", "left_anti"), "level")
+        if not n:
             if not left.isEmpty():
                 raise CycleError("the graph has a cycle")
             release(spark)
-            return placed if placed is not None else free.withColumn("level", F.lit(0))
+            return placed.rows if placed else free.withColumn("level", F.lit(0))
         now = free.withColumn("level", F.lit(level))
-        placed = now if placed is None else placed.unionByName(now)
+        if placed:
+            placed.add(now)
+        else:
+            placed = _Rounds(now)
         rest, path = kept(left.join(free, "id", "left_anti"), "left")
         edges, edge_path = kept(edges.join(free.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst"), "edges")
         for p in old or ():

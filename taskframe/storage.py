@@ -10,7 +10,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -50,6 +51,13 @@ def kept(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int, str]:
+    """Like `kept`, with the number of rows, which the write itself counts."""
+    seen = Observation()
+    out, path = kept(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"], path
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
     gc.collect()
