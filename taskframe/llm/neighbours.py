@@ -275,7 +275,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_
     shards = {r["dims"]: r["n"] for r in index.groupBy("dims").agg((F.max("shard") + 1).alias("n")).collect()}  # a row per length
     n_blocks = packed.count()
     last = F.create_map(*[F.lit(x) for d, n in shards.items() for x in (d, n - 1)]) if shards else F.create_map(F.lit(0), F.lit(0))
-    sent = packed.withColumn("last", F.element_at(last, F.col("dims"))).filter("last IS NOT NULL").select("dims", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).cast("long").alias("shard"), "q_ids", "q_vectors")
+    sent = packed.withColumn("last", F.element_at(last, F.col("dims"))).filter("last IS NOT NULL").select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("shard"), "q_ids", "q_vectors")
     tasks = max(common.shuffle_partitions(spark), min(sum(shards.values()) * max(n_blocks, 1), MOST_TASKS))
     pairs = index.repartition(tasks, "dims", "shard").hint("merge").join(sent.repartition(tasks, "dims", "shard"), ["dims", "shard"])
     pairs = pairs.select("dims", "vectors", "ids", "ends", "layers", "q_ids", "q_vectors")
