@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..storage import counted, kept, release, remove
 
-#: Rounds after which a loop's rows are written as one table.
-COMPACT = 12
+#: Rounds after which a loop's rows are written as one table; growth of a table of short paths.
+COMPACT, SHORT = 12, 4
 
 
 class CycleError(ValueError):
@@ -66,23 +66,36 @@ def at_distance(edges: DataFrame, source: int, distance: int) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every path. Semi-naive: each round extends only the pairs found in the last one."""
+    """(src, dst) for every path. Semi-naive: each round extends only the pairs found in the last one, by a table of
+    short paths, which is doubled in length while it holds at most SHORT times as many pairs as there are edges."""
     spark = edges.sparkSession
-    edges, _ = kept(edges.select("src", "dst").distinct(), "edges")
     loops = F.count_if(F.col("src") == F.col("dst")).alias("loops")
-    if edges.agg(loops).collect()[0].loops:
-        raise CycleError("the graph has a cycle")
-    new, all_ = edges, _Rounds(edges)
-    while True:
-        step = new.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+
+    def written(rows: DataFrame) -> tuple[DataFrame, int]:
         seen = Observation()
-        new, _ = kept(step.join(all_.rows, ["src", "dst"], "left_anti").observe(seen, F.count(F.lit(1)).alias("n"), loops), "closure")
-        if not seen.get["n"]:
-            release(spark)
-            return all_.rows
+        rows, _ = kept(rows.observe(seen, F.count(F.lit(1)).alias("n"), loops), "closure")
         if seen.get["loops"]:
             raise CycleError("the graph has a cycle")
+        return rows, seen.get["n"]
+
+    def extended(pairs: DataFrame, by: DataFrame) -> DataFrame:
+        return pairs.select("src", F.col("dst").alias("mid")).join(by.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+
+    step, n = written(edges.select("src", "dst").distinct())
+    most, longer = SHORT * n, n
+    while n:
+        twice, longer = written(step.unionByName(extended(step, step)).distinct())
+        if not n < longer <= most:
+            break
+        step, n = twice, longer
+    new, all_ = (twice, _Rounds(twice)) if n else (step, _Rounds(step))
+    while n and longer > n:
+        new, left = written(extended(new, step).distinct().join(all_.rows, ["src", "dst"], "left_anti"))
+        if not left:
+            break
         all_.add(new)
+    release(spark)
+    return all_.rows
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -76,3 +76,19 @@ def worker_averages(rows: DataFrame, group: list[str], columns: list[str]) -> Da
 def newer_than(status: DataFrame, etag: int) -> DataFrame:
     """A poller that has seen `etag` gets only later versions."""
     return status.filter(F.col("etag") > etag)
+
+
+def long_polls(polls: DataFrame, versions: DataFrame, group: str) -> DataFrame:
+    """polls(group, poll, etag, at, least, most) with `reply_at` and the `version` they then see: as soon as the counter
+    is above etag, at the latest after `most`, never before `least`. versions(group, etag, at) is how the counter grew.
+    A later poll with the version it got waits for the next one. Times and spans share one unit."""
+    asked = polls.select(group, "etag", F.lit(None).cast("long").alias("seen"), F.struct("poll", "at", "least", "most").alias("p"))
+    grown = versions.select(group, "etag", F.col("at").cast("long").alias("seen"), F.lit(None).cast(asked.schema["p"].dataType).alias("p"))
+    later = Window.partitionBy(group).orderBy("etag").rangeBetween(1, Window.unboundedFollowing)
+    waiting = asked.unionByName(grown).withColumn("above", F.min("seen").over(later)).filter("p IS NOT NULL")
+    end = F.col("p.at") + F.col("p.most")
+    reply = F.greatest(F.col("p.at") + F.col("p.least"), F.least(F.when(F.col("above").isNotNull(), F.greatest("above", F.col("p.at"))), end))  # least leaves null out
+    replies = waiting.select(group, F.col("p.poll").alias("poll"), reply.alias("at"), F.lit(None).cast("long").alias("etag"))
+    both = replies.unionByName(versions.select(group, F.lit(None).cast(replies.schema["poll"].dataType).alias("poll"), F.col("at").cast("long").alias("at"), F.col("etag").cast("long").alias("etag")))
+    upto = Window.partitionBy(group).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("version", F.coalesce(F.max("etag").over(upto), F.lit(0))).filter("poll IS NOT NULL").select(group, "poll", F.col("at").alias("reply_at"), "version")

@@ -386,6 +386,23 @@ def etag_poll(spark, d):
     return metrics.newer_than(status, 9000)
 
 
+@query("""WITH v AS (SELECT user_id, event_id AS etag, epoch_us(ts) AS moment FROM events),
+p AS (SELECT user_id, event_id AS poll, event_id - 40 AS etag, epoch_us(ts) - 86400000000 AS moment, (event_id % 3) * 3600000000 AS least, (event_id % 11) * 21600000000 AS most FROM events WHERE event_id % 5 = 0),
+f AS (SELECT *, (SELECT min(v.moment) FROM v WHERE v.user_id = p.user_id AND v.etag > p.etag) AS above FROM p),
+r AS (SELECT *, greatest(moment + least, CASE WHEN above IS NULL THEN moment + most ELSE least(greatest(above, moment), moment + most) END) AS reply_at FROM f)
+SELECT user_id, poll, reply_at, coalesce((SELECT max(v.etag) FROM v WHERE v.user_id = r.user_id AND v.moment <= r.reply_at), 0) AS version FROM r""")
+def etag_long_poll(spark, d):
+    """Each fifth event polls a day before it happens, with an older version, holding times and deadlines of some hours."""
+    us = fx.read(spark, d, "events").select("user_id", "event_id", metrics.micros("ts").alias("us"))
+    polls = us.filter("event_id % 5 = 0").select("user_id", F.col("event_id").alias("poll"), (F.col("event_id") - 40).alias("etag"), (F.col("us") - 86_400_000_000).alias("at"), (F.col("event_id") % 3 * 3_600_000_000).alias("least"), (F.col("event_id") % 11 * 21_600_000_000).alias("most"))
+    return metrics.long_polls(polls, us.select("user_id", F.col("event_id").alias("etag"), F.col("us").alias("at")), "user_id")
+
+
+@query(f"WITH {fx.SQL_TASKS} SELECT key FROM tasks")
+def task_keys(spark, d):
+    return tasks.task_keys(fx.tasks(spark, d))
+
+
 @query(f"{LOG} SELECT session, (SELECT count(DISTINCT key) FROM firsts) - count(DISTINCT key) AS unready FROM log WHERE tag = 'Ready' GROUP BY session")
 def unready_counter(spark, d):
     log = fx.log(spark, d)
