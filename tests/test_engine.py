@@ -19,13 +19,14 @@ def pairs(df):
 
 
 def test_closure_levels_and_distances(spark):
-    assert pairs(graph.closure(edges_of(spark, [(0, 1), (1, 2), (2, 3)]))) == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}
-    e = edges_of(spark, [(0, 1), (1, 2), (1, 3)])
-    assert pairs(graph.closure(e)) == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)}
-    assert {r.id for r in graph.at_distance(e, 0, 2).collect()} == {2, 3} and graph.at_distance(e, 0, 5).count() == 0
-    nodes = spark.range(5)
-    assert pairs(graph.t_level(e, nodes)) == {(0, 0), (4, 0), (1, 1), (2, 2), (3, 2)}
-    assert pairs(graph.b_level(e, nodes)) == {(0, 2), (4, 0), (1, 1), (2, 0), (3, 0)}
+    chain_ = [(i, i + 1) for i in range(30)]  # longer than the rounds between two compactions
+    assert pairs(graph.closure(edges_of(spark, chain_))) == {(i, j) for j in range(31) for i in range(j)}
+    e = edges_of(spark, [(0, 2), (2, 3), (0, 3), (3, 4)])
+    assert pairs(graph.closure(e)) == {(0, 2), (0, 3), (0, 4), (2, 3), (2, 4), (3, 4)}
+    assert {r.id for r in graph.at_distance(e, 0, 2).collect()} == {4} and graph.at_distance(e, 0, 5).count() == 0
+    nodes = spark.range(6)
+    assert pairs(graph.t_level(e, nodes)) == {(0, 0), (1, 0), (5, 0), (2, 1), (3, 2), (4, 3)}
+    assert pairs(graph.b_level(e, nodes)) == {(0, 3), (1, 0), (5, 0), (2, 2), (3, 1), (4, 0)}
     with pytest.raises(graph.CycleError):
         graph.closure(edges_of(spark, [(1, 1), (1, 2)]))
     loop = edges_of(spark, [(0, 1), (1, 2), (2, 1)])
@@ -34,7 +35,7 @@ def test_closure_levels_and_distances(spark):
             f()
     assert graph.has_cycle(loop) and not graph.has_cycle(e)
     none = e.limit(0)
-    assert graph.closure(none).count() == 0 and graph.t_level(none, nodes).count() == 5 and graph.levels(none, nodes.limit(0)).count() == 0
+    assert graph.closure(none).count() == 0 and graph.t_level(none, nodes).count() == 6 and graph.levels(none, nodes.limit(0)).count() == 0
 
 
 def test_random_graph_outcomes_match_a_plain_run(spark):
