@@ -118,6 +118,27 @@ def test_links_are_those_of_all_compared_pairs(left):
     assert got <= want and groups(got) == groups(want)
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_no_link_of_a_chain_is_lost(spark, monkeypatch, block):
+    # each text is 0.85 similar to the next and 0.71 to the one after it, so one lost link splits the class
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(8 * 250 + 100)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 100]), "k", 1, "s") for i in range(250)]
+    got = near_dups.classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.class_id for r in got} == {0} and len(got) == 250
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    near = list(words)
+    for k in range(0, len(near), 400):
+        near[k] = "other"
+    rows = [(1, " ".join(words), "", 0, ""), (2, " ".join(near), "", 0, ""), (3, " ".join(words[:60_000]), "", 0, ""), (4, "w1 " * 200_000, "", 0, ""), (5, "w1 " * 190_000, "", 0, "")]
+    assert {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", "", 0, "")] * 3 + [(1, "other words stand here in this one", "", 0, "")], SCHEMA)
     assert near_dups.classes(df).count() == 4 and near_dups.keep_one(df).count() == 2
