@@ -82,7 +82,7 @@ def _item_words(benchmark: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], ["item_id", "words"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = items.mapInArrow(split, "item_id long, words binary").filter(F.octet_length("words") > 0)
+    words = items.mapInArrow(common.tidied(split), "item_id long, words binary").filter(F.octet_length("words") > 0)
     return words.groupBy("words").agg(F.min("item_id").alias("item_id"), F.greatest(F.countDistinct("item_id"), F.lit(1)).alias("copies")).withColumn("item", _tie(F.sha2("words", 256)))
 
 
@@ -101,7 +101,7 @@ def _item_grams(items: DataFrame) -> DataFrame:
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate([*grams, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(at), pa.array(np.repeat(n + SEED - 1, n))], ["item", "gram", "at", "length"])
 
-    return items.mapInArrow(cut, "item long, gram long, at long, length long")
+    return items.mapInArrow(common.tidied(cut), "item long, gram long, at long, length long")
 
 
 def _gram_filter(grams: DataFrame) -> Broadcast:
@@ -149,7 +149,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                 take = pa.array(np.asarray(take), mask=np.asarray(take) < 0)
                 yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array([None] * len(gram) + packed, pa.binary()), pa.array([*gram.tolist(), *[None] * len(few)], pa.int64()), pa.array([*n.tolist(), *[None] * len(few)], pa.int64())], ["doc", "tie", "words", "gram", "n"])
 
-    counted, _ = common.kept(texts.mapInArrow(count, "doc long, tie long, words binary, gram long, n long"), "gram-counts")
+    counted, _ = common.kept(texts.mapInArrow(common.tidied(count), "doc long, tie long, words binary, gram long, n long"), "gram-counts")
     item_filter.destroy()
     counts = counted.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
     ranked = grams.join(counts, "gram", "left").na.fill(0, ["n"])
@@ -172,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                 places = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(at))
                 yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(h[first]), places], ["doc", "tie", "gram", "at"])
 
-    hits = texts.mapInArrow(match, "doc long, tie long, gram long, at array<long>")
+    hits = texts.mapInArrow(common.tidied(match), "doc long, tie long, gram long, at array<long>")
     # a list of the text's distinct grams that the item has too
     found = hits.join(seeds, "gram").groupBy("doc", "tie", "item", "need").agg(F.collect_list(F.struct("at", "item_at")).alias("places"), F.sum(F.size("item_at")).alias("held"))
     found, _ = common.kept(found.filter("held >= need").select("doc", "tie", "item", "places"), "candidates")
@@ -188,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                 w = Words(batch.column(2))
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array([w.hash[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:])], pa.binary())], ["doc", "tie", "words"])
 
-    words = texts.select("doc", "tie", "text", *[b.alias(f"bit{i}") for i, b in enumerate(bits)]).mapInArrow(again, "doc long, tie long, words binary")
+    words = texts.select("doc", "tie", "text", *[b.alias(f"bit{i}") for i, b in enumerate(bits)]).mapInArrow(common.tidied(again), "doc long, tie long, words binary")
     words = words.join(near, ["doc", "tie"], "left_semi").groupBy("doc", "tie").agg(F.min("words").alias("words"))
     pairs = found.join(words, ["doc", "tie"]).join(items.select("item", "item_id", "copies", F.col("words").alias("item_words")), "item")
 
@@ -203,7 +203,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                 out.append(best / len(a))
             yield pa.record_batch([*batch.columns[:4], pa.array(out, pa.float64())], ["doc", "tie", "item_id", "copies", "score"])
 
-    aligned = pairs.select("doc", "tie", "item_id", "copies", "item_words", "words", "places").mapInArrow(score, "doc long, tie long, item_id long, copies long, score double").filter(F.col("score") >= threshold)
+    aligned = pairs.select("doc", "tie", "item_id", "copies", "item_words", "words", "places").mapInArrow(common.tidied(score), "doc long, tie long, item_id long, copies long, score double").filter(F.col("score") >= threshold)
     few = every.filter(F.octet_length("words") < 8 * LEAST_WORDS)
     whole = counted.filter("words IS NOT NULL").select("doc", "tie", "words").distinct().join(few, "words").select("doc", "tie", "item_id", "copies", F.lit(1.0).alias("score"))
     return aligned.unionByName(whole)

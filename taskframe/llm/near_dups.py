@@ -29,7 +29,7 @@ REGISTERS = BANDS * ROWS
 #: Members of a block, and bytes of its texts: both about, as members of larger buckets are dealt by a hash.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Sets of which all pairs are looked at one by one, and bytes of multisets that a task keeps for their next group.
-FEW, CACHE_BYTES = 12, 64 << 20
+FEW, CACHE_BYTES = 12, 32 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -150,7 +150,7 @@ def _packed(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, str]:
             for batch in _runs(whole.take(pa.array(take, pa.int64())), 1):
                 yield pa.record_batch([batch.column(0), pa.array([zip_.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["key", "packed"])
 
-    near = _keyed(docs).select("key", "text", *filter_bits("key")).mapInArrow(press, "key binary, packed binary")
+    near = _keyed(docs).select("key", "text", *filter_bits("key")).mapInArrow(common.tidied(press), "key binary, packed binary")
     kept = common.kept(near.groupBy("key").agg(F.min("packed").alias("packed")), "packed", "none")
     words.destroy()
     return kept
@@ -209,7 +209,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([x for x, y in zip(c, near) if y], pa.binary()) for c in (us, vs)], ["u", "v"])
 
     rows = pairs.join(sets.select(F.col("key").alias("u"), F.col("packed").alias("u_packed")), "u").join(sets.select(F.col("key").alias("v"), F.col("packed").alias("v_packed")), "v")
-    return rows.select("u", "v", "u_packed", "v_packed").mapInArrow(compare, "u binary, v binary")
+    return rows.select("u", "v", "u_packed", "v_packed").mapInArrow(common.tidied(compare), "u binary, v binary")
 
 
 def links(values: list[np.ndarray], left: int) -> np.ndarray:
@@ -310,7 +310,7 @@ def _joined(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     group = ["bucket", "low", "high"]
     rows = blocks.join(sets.select("key", "packed"), "key").select(*group, "side", "root", "key", "packed")
     rows = rows.repartition(common.shuffle_partitions(blocks.sparkSession), *group).sortWithinPartitions(*group, "side")
-    return rows.mapInArrow(compare, "u binary, v binary")
+    return rows.mapInArrow(common.tidied(compare), "u binary, v binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def classes(docs: DataFrame) -> DataFrame:
     one block is one group, in which all pairs are looked at; larger ones are dealt to blocks. Nothing is left out.
     """
     spark = docs.sparkSession
-    rows, _ = common.kept(_keyed(docs).mapInArrow(_sketch, "doc_id long, key binary, size long, bands array<long>"), "sketches")
+    rows, _ = common.kept(_keyed(docs).mapInArrow(common.tidied(_sketch), "doc_id long, key binary, size long, bands array<long>"), "sketches")
     nodes = rows.filter("bands IS NOT NULL").groupBy("key").agg(F.min("bands").alias("bands"), F.min("size").alias("size"))
     members = nodes.select("key", "size", F.explode("bands").alias("bucket"))
     mark = [F.bit_xor(F.xxhash64("key", F.lit(s))).alias(f"mark{s}") for s in (1, 2)]  # of the set of members

@@ -71,7 +71,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int |
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)) if len(at) else [0], pa.int32()), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidied(cut), schema)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

@@ -223,7 +223,7 @@ def repeats(docs: DataFrame, split: int = SPLIT, shard_bytes: int = SHARD_BYTES)
             hashes, count = np.unique(regions(flat, ends)[3], return_counts=True)
             yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(count)], ["anchor", "n"])
 
-    often = texts.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", (F.col("n") > split).alias("hot"))
+    often = texts.select("text").mapInArrow(common.tidied(anchors), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", (F.col("n") > split).alias("hot"))
     often, _ = common.kept(often, "anchors")
     filled = spark.sparkContext.broadcast(key_filter(often, "anchor", [F.col("anchor").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("anchor", 32).bitwiseAND(FILTER_BITS - 1)]))  # of fixed size
     common.release(spark)
@@ -238,7 +238,7 @@ def repeats(docs: DataFrame, split: int = SPLIT, shard_bytes: int = SHARD_BYTES)
             yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(first - ends[row] + begin), pa.array(count), pa.array(anchor.view(np.int64))], ["doc", "tie", "start", "n", "anchor"])
 
     # the filter may let others through, above all when it is full; the join does not
-    found = texts.mapInArrow(occurrences, "doc long, tie long, start long, n long, anchor long").join(often, "anchor")
+    found = texts.mapInArrow(common.tidied(occurrences), "doc long, tie long, start long, n long, anchor long").join(often, "anchor")
     wanted, _ = common.kept(found.groupBy("doc", "tie").agg(F.collect_set(F.struct("anchor", "start", "n", "hot")).alias("wanted")), "wanted")  # bounded by the text's length
     filled.destroy()
     common.release(spark)
@@ -262,14 +262,14 @@ def repeats(docs: DataFrame, split: int = SPLIT, shard_bytes: int = SHARD_BYTES)
                 places = [pa.ListArray.from_arrays(offsets, pa.array(x[by])) for x in (doc, tie, np.asarray(start))]
                 yield pa.record_batch([pa.array([h for h, _ in kinds], pa.int64()), pa.array(part), pa.array(wide.astype(bool)), *places, pa.array([b for _, b in kinds], pa.binary())], names)
 
-    dealt = _cut(docs, wanted).mapInArrow(extract, "anchor long, part long, split boolean, doc array<long>, tie array<long>, start array<long>, bytes binary")
+    dealt = _cut(docs, wanted).mapInArrow(common.tidied(extract), "anchor long, part long, split boolean, doc array<long>, tie array<long>, start array<long>, bytes binary")
     dealt = dealt.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
     sort = lambda batches: _shards(batches, 4 * parts, shard_bytes)
-    sharded, _ = common.kept(dealt.mapInArrow(sort, "doc long, tie long, start long, n long, anchor long, slot int, windows binary"), "shards")
+    sharded, _ = common.kept(dealt.mapInArrow(common.tidied(sort), "doc long, tie long, start long, n long, anchor long, slot int, windows binary"), "shards")
     common.release(spark)
     inside = sharded.filter("windows IS NULL").select("doc", "tie", "start", "n")
     tables = sharded.filter("windows IS NOT NULL").select("anchor", "slot", "windows").repartition(parts, "slot").sortWithinPartitions("slot")
-    return inside.unionByName(tables.mapInArrow(_merge, "doc long, tie long, start long, n long"))
+    return inside.unionByName(tables.mapInArrow(common.tidied(_merge), "doc long, tie long, start long, n long"))
 
 
 _SORTED = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("start", "<i8"), ("bytes", f"S{LENGTH}")])
@@ -414,11 +414,14 @@ def spans(docs: DataFrame, split: int = SPLIT, shard_bytes: int = SHARD_BYTES) -
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [removed_spans(np.array([x["start"] for x in r], np.int64), np.array([x["n"] for x in r], np.int64)).ravel().tolist() for r in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int64()))], ["doc", "tie", "spans"])
+            start, n = (np.asarray(x, np.int64) for x in batch.column(2).flatten().flatten())
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(2).value_lengths(), np.int64))
+            got = removed_spans(start + (row << 40), n)  # texts one after the other
+            ends = 2 * np.searchsorted(got[:, 0] >> 40, np.arange(batch.num_rows + 1))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((got & (1 << 40) - 1).ravel()))], ["doc", "tie", "spans"])
 
     runs = repeats(docs, split, shard_bytes).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # bounded by the text's length
-    return runs.mapInArrow(join_up, "doc long, tie long, spans array<long>")
+    return runs.mapInArrow(common.tidied(join_up), "doc long, tie long, spans array<long>")
 
 
 def _cut(docs: DataFrame, lost: DataFrame) -> DataFrame:
@@ -433,7 +436,7 @@ def _cut(docs: DataFrame, lost: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array([press.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())], ["doc", "tie", "packed"])
 
     bits = [F.pmod(F.xxhash64("doc", "tie", F.lit(s)), F.lit(FILTER_BITS)).alias(f"bit{s}") for s in (1, 2)]
-    packed = _texts(docs).select("doc", "tie", "text", *bits).mapInArrow(near, "doc long, tie long, packed binary").groupBy("doc", "tie").agg(F.min("packed").alias("packed"))
+    packed = _texts(docs).select("doc", "tie", "text", *bits).mapInArrow(common.tidied(near), "doc long, tie long, packed binary").groupBy("doc", "tie").agg(F.min("packed").alias("packed"))
     return packed.join(lost, ["doc", "tie"])
 
 
@@ -456,12 +459,12 @@ def dedup_report(docs: DataFrame, split: int = SPLIT, shard_bytes: int = SHARD_B
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, 2, BATCH_BYTES)):
             runs = batch.column(3).to_pylist()
             sha = [hashlib.sha256(_without(press.decompress(p.as_py()), r)).hexdigest() for p, r in zip(batch.column(2), runs)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([sum(r[1::2]) - sum(r[::2]) for r in runs], pa.int64()), pa.array([len(r) // 2 for r in runs], pa.int64()), pa.array(sha)], ["doc", "tie", "n_removed", "n_spans", "kept"])
 
-    changed = _cut(docs, lost).mapInArrow(digest, "doc long, tie long, n_removed long, n_spans long, kept string")
+    changed = _cut(docs, lost).mapInArrow(common.tidied(digest), "doc long, tie long, n_removed long, n_spans long, kept string")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _doc().alias("doc"), F.sha2(text.cast("binary"), 256).alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"))
     rows = rows.groupBy("doc_id", "doc", "sha", "n_bytes").agg(F.count("*").alias("rows")).withColumn("tie", _tie(F.col("sha")))
@@ -491,11 +494,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, 2, BATCH_BYTES)):
             kept = [_without(press.decompress(p.as_py()), r).decode("utf-8", "ignore") for p, r in zip(batch.column(2), batch.column(3).to_pylist())]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["doc", "tie", "kept"])
 
-    changed = _cut(docs, lost).mapInArrow(cut, "doc long, tie long, kept string")
+    changed = _cut(docs, lost).mapInArrow(common.tidied(cut), "doc long, tie long, kept string")
     joined = tagged.join(changed, ["doc", "tie"], "left").join(again, ["doc", "tie"], "left")
     one = joined.filter("again IS NULL").withColumn("nth", F.lit(1))
     more = joined.filter("again").withColumn("nth", F.row_number().over(Window.partitionBy("doc", "tie").orderBy("long")))  # rows repeated in full

@@ -7,14 +7,14 @@ term leave a few thousand weights, which are broadcast. Scoring is one pass over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from . import common
 from .features import BATCH_BYTES, Words
@@ -108,35 +108,61 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias))], ["place", "weight"])
 
     one = texts.groupBy("doc_id", "toxic", "rank").agg(F.min("text").alias("text")).select("rank", "toxic", "text")
-    got = one.mapInArrow(extract, "rank long, toxic int, places binary").repartition(1).sortWithinPartitions("rank", "toxic", "places").mapInArrow(learn, "place long, weight double").toPandas()
+    got = one.mapInArrow(common.tidied(extract), "rank long, toxic int, places binary").repartition(1).sortWithinPartitions("rank", "toxic", "places").mapInArrow(common.tidied(learn), "place long, weight double").toPandas()
     bias = got[got.place < 0].weight
     got = got[got.place >= 0].sort_values("place")
     return Model(got.place.to_numpy(), got.weight.to_numpy(), float(bias.iloc[0]) if len(bias) else -35.0)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: list[str] = ()) -> DataFrame:
-    """doc_id, score and predicted (score >= threshold) of every row, with the columns named in `keep`.
+def _scorer(model: Broadcast, threshold: float) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Of texts: (score, predicted)."""
+    m = model.value
+    dense = np.zeros(1 << BITS)
+    dense[m.place] = m.weight
+
+    def of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        row, place, n = features(texts)
+        hit = dense[place] != 0
+        both = np.unique(row[hit] << BITS | place[hit])
+        total = m.bias + np.bincount(both >> BITS, dense[both & ((1 << BITS) - 1)], n)
+        p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+        return p, (p >= threshold).astype(np.int32)
+
+    return of
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score and predicted (score >= threshold) of every row.
 
     Null text counts as empty, and an empty text scores by the bias alone. Rows with null or repeated doc_id are kept.
+    Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS weights
-    docs = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_scored"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
-    schema = StructType([docs.schema[c] for c in ["doc_id", *keep]]).add("score", DoubleType()).add("predicted", IntegerType())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        dense = np.zeros(1 << BITS)
-        dense[m.place] = m.weight
+        of = _scorer(shared, threshold)
+        for whole in batches:
+            for batch in common.slices(whole, 1, BATCH_BYTES):
+                yield pa.record_batch([batch.column(0), *map(pa.array, of(batch.column(1)))], ["doc_id", "score", "predicted"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidied(apply), "doc_id long, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold. A row travels as one struct, so no column clashes."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS weights
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index("text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _scorer(shared, threshold)
         for whole in batches:
-            for batch in common.slices(whole, 0, BATCH_BYTES):
-                row, place, n = features(batch.column(0))
-                hit = dense[place] != 0
-                both = np.unique(row[hit] << BITS | place[hit])
-                total = m.bias + np.bincount(both >> BITS, dense[both & ((1 << BITS) - 1)], n)
-                p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield pa.record_batch([*batch.columns[1:], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
-
-    return docs.mapInArrow(apply, schema)
+            row = whole.column(0)
+            both = pa.record_batch([row, row.field(at).cast(pa.string())], ["row", "text"])
+            for batch in common.slices(both, 1, BATCH_BYTES):
+                yield pa.record_batch([batch.column(0).filter(pa.array(of(batch.column(1))[1] == 0))], ["row"])
+
+    return rows.mapInArrow(common.tidied(apply), rows.schema).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
