@@ -14,9 +14,7 @@ from taskframe.llm import common, decontaminate, near_dups, packing, suffixes, t
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold by a model that learns from all of `labels`."""
-    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return toxicity.score(rows, model, keep=["row"]).filter("predicted = 0").select("row.*")
+    return toxicity.keep_clean(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
