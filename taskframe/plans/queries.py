@@ -459,15 +459,15 @@ def cancelled_jobs(spark, d):
     return all_.join(reply.withColumn("asked", F.lit(True)), "job", "left").select("job", F.coalesce("asked", F.lit(False)).alias("replied"))
 
 
-KIND = "CASE event_id % 11 WHEN 0 THEN 'ratelimit' WHEN 1 THEN 'provisioner_info' WHEN 2 THEN CASE WHEN user_id % 2 = 0 THEN 'soft' ELSE 'hard' END ELSE 'none' END"
+ADMIN_KIND = "CASE event_id % 11 WHEN 0 THEN 'ratelimit' WHEN 1 THEN 'provisioner_info' WHEN 2 THEN CASE WHEN user_id % 2 = 0 THEN 'soft' ELSE 'hard' END ELSE 'none' END"
 
 
-@query(f"""WITH c AS (SELECT user_id, event_id, epoch_us(ts) AS moment, {KIND} AS kind FROM events)
+@query(f"""WITH c AS (SELECT user_id, event_id, epoch_us(ts) AS moment, {ADMIN_KIND} AS kind FROM events)
 SELECT user_id, arg_max(event_id % 1000, event_id) FILTER (kind = 'ratelimit') AS per_second, 'info ' || arg_max(event_id, event_id) FILTER (kind = 'provisioner_info') AS provisioner_info,
 coalesce(bool_or(kind = 'hard') FILTER (kind IN ('soft', 'hard')), false) AS hard, min(moment) FILTER (kind = 'soft') AS soft_us FROM c GROUP BY user_id""")
 def admin_settings(spark, d):
     value = F.expr("IF(event_id % 11 = 0, string(event_id % 1000), concat('info ', event_id))")
-    commands = fx.read(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), metrics.micros("ts").alias("at"), F.expr(KIND).alias("kind"), value.alias("value"))
+    commands = fx.read(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), metrics.micros("ts").alias("at"), F.expr(ADMIN_KIND).alias("kind"), value.alias("value"))
     return remote.settings(commands, "user_id").withColumnRenamed("soft_at", "soft_us")
 
 
