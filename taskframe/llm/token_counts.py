@@ -58,8 +58,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
             first: dict[bytes, int] = {}
             for i, d in enumerate(batch.column(0)):
                 first.setdefault(d.as_py(), i)
-            packed = [press.compress(x.as_py().encode()) for x in batch.column(1).take(pa.array(list(first.values()), pa.int64()))]
-            yield pa.record_batch([pa.array(list(first), pa.binary()), pa.array(packed, pa.binary())], ["digest", "packed"])
+            for part in common.slices(batch.take(pa.array(list(first.values()), pa.int64())), 1, 4 << 20):
+                yield pa.record_batch([part.column(0), pa.array([press.compress(x.as_py().encode()) for x in part.column(1)], pa.binary())], ["digest", "packed"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, press, seen = encoder(tokenizer), zstandard.ZstdDecompressor(), set()
@@ -83,11 +83,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
                 yield done()
 
     parts = common.shuffle_partitions(spark)
-    sent = rows.select("digest", "text").mapInArrow(send, "digest binary, packed binary").repartition(parts, "digest")
+    sent = rows.select("digest", "text").mapInArrow(common.tidied(send), "digest binary, packed binary").repartition(parts, "digest")
     known = stored(spark, cache, version)
     if not known.isEmpty():
         sent = sent.hint("merge").join(known.select("digest").repartition(parts, "digest"), "digest", "left_anti")
-    fresh = sent.mapInArrow(encode, "digest binary, n_tokens long")
+    fresh = sent.mapInArrow(common.tidied(encode), "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     common.release(spark)
     counts = stored(spark, cache, version)
