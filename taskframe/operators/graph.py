@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..storage import counted, kept, release, remove
+from ..storage import counted, kept, release, remove, scratch
 
-#: Rounds after which a loop's rows are written as one table; growth of a table of short paths.
-COMPACT, SHORT = 12, 4
+#: Rounds after which a loop's rows are written as one table; growth of a table of short paths; most rows of a broadcast.
+COMPACT, SHORT, BROADCAST = 12, 4, 50_000
 
 
 class CycleError(ValueError):
@@ -25,7 +25,7 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in nodes(id)."""
-    ids = nodes.select("id")
+    ids = nodes.select("id").hint("merge")
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
@@ -44,6 +44,12 @@ class _Rounds:
                 remove(self.rows.sparkSession, old)
 
 
+def _followed(front: DataFrame, n: int, edges: DataFrame) -> DataFrame:
+    """Edges that start at one of the n different nodes of front(id). Only few nodes are broadcast: Spark would go by the
+    size of files, in which many rows are small."""
+    return edges.join(front.withColumnRenamed("id", "src").hint("broadcast" if n <= BROADCAST else "shuffle_hash"), "src")
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, distance) of all nodes reachable from start(id), those at distance 0 included, up to `depth` steps."""
     spark = edges.sparkSession
@@ -51,8 +57,8 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataF
     seen, distance = _Rounds(front.withColumn("distance", F.lit(0))), 0
     while n and (depth is None or distance < depth):
         distance += 1
-        step = front.join(edges, front.id == edges.src).select(F.col("dst").alias("id")).distinct()
-        front, n, _ = counted(step.join(seen.rows.select("id"), "id", "left_anti"), "front")
+        step = _followed(front, n, edges).select(F.col("dst").alias("id")).distinct()
+        front, n, _ = counted(step.join(seen.rows.select("id").hint("merge"), "id", "left_anti"), "front")
         if n:
             seen.add(front.withColumn("distance", F.lit(distance)))
     release(spark)
@@ -101,51 +107,38 @@ def closure(edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, level): the number of edges on the longest path that ends in the node.
 
-    Edges that all lead to larger ids, or all to smaller ones, cannot form a cycle: round k then holds the nodes at the
-    end of a path of k edges, and a node's level is the last round it is in. Other graphs are peeled, which also finds
-    cycles.
+    A round places the nodes whose dependencies are all placed. It follows only the edges of the nodes that the last one
+    placed, and counts for each node how many of its dependencies are met; an edge is followed once. If edges are left
+    over, there is a cycle, or they start at unknown nodes: paths from those do not count.
     """
     spark = nodes.sparkSession
-    edges, _ = kept(edges.select("src", "dst").distinct(), "edges")
-    up, down = edges.agg(F.count_if(F.col("src") >= F.col("dst")), F.count_if(F.col("src") <= F.col("dst"))).collect()[0]
-    if up and down:
-        return _peeled(edges, nodes)
-    step = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
-    level = 0
-    front, n, _ = counted(nodes.select("id").distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti"), "level")
-    seen = _Rounds(front.withColumn("level", F.lit(0)))
-    while n:
-        level += 1
-        front, n, _ = counted(front.join(step, front.id == step.src).select(F.col("dst").alias("id")).distinct(), "level")
-        if n:
-            seen.add(front.withColumn("level", F.lit(level)))
-    release(spark)
-    return seen.rows.groupBy("id").agg(F.max("level").alias("level"))
-
-
-def _peeled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rounds place the nodes whose dependencies are all placed. A round that places none while nodes are left proves a
-    cycle."""
-    spark = nodes.sparkSession
-    left, placed, level, old = nodes.select("id"), None, 0, None
+    once = edges.select("src", "dst").distinct()
+    need = once.groupBy("dst").agg(F.count("*").alias("need"))
+    edges, left, _ = counted(once.join(need.hint("merge"), "dst").select("src", "dst", "need"), "edges")
+    entries = nodes.select("id").distinct().join(edges.select(F.col("dst").alias("id")).distinct().hint("merge"), "id", "left_anti")
+    now, path, level = entries.select("id", F.lit(0).cast("long").alias("need"), F.lit(0).cast("long").alias("met")), scratch(spark, "levels"), 0
     while True:
-        blocked = edges.select(F.col("dst").alias("id"))
-        free, n, _ = counted(left.join(blocked, "id", "left_anti"), "level")
+        seen = Observation()
+        free = F.col("met") == F.col("need")
+        now.observe(seen, F.count_if(free).alias("n"), F.sum(F.when(free, F.col("need"))).alias("edges")).write.option("compression", "zstd").parquet(f"{path}/level={level}")
+        n, left = seen.get["n"], left - (seen.get["edges"] or 0)
         if not n:
-            if not left.isEmpty():
-                raise CycleError("the graph has a cycle")
-            release(spark)
-            return placed.rows if placed else free.withColumn("level", F.lit(0))
-        now = free.withColumn("level", F.lit(level))
-        if placed:
-            placed.add(now)
-        else:
-            placed = _Rounds(now)
-        rest, path = kept(left.join(free, "id", "left_anti"), "left")
-        edges, edge_path = kept(edges.join(free.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst"), "edges")
-        for p in old or ():
-            remove(spark, p)
-        old, left, level = (path, edge_path), rest, level + 1
+            break
+        now = spark.read.schema(now.schema).parquet(f"{path}/level={level}")
+        met = _followed(now.filter(free).select("id"), n, edges).select(F.col("dst").alias("id"), "need", F.lit(1).cast("long").alias("met"))
+        now = met.unionByName(now.filter(~free)).groupBy("id").agg(F.max("need").alias("need"), F.sum("met").alias("met"))
+        level += 1
+    release(spark)
+    if left:
+        known = nodes.select("id").distinct()
+        unknown = edges.join(known.select(F.col("id").alias("src")).hint("merge"), "src", "left_anti")
+        if unknown.isEmpty():
+            raise CycleError("the graph has a cycle")
+        levels(edges, known.union(unknown.select("src")))  # raises if there is a cycle
+        whole = edges.join(known.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi")
+        live = reach(whole, entries).select("id")
+        return levels(induced(whole, live), live)
+    return spark.read.schema(now.schema.add("level", "integer")).parquet(path).filter("met = need").select("id", "level")
 
 
 def t_level(edges: DataFrame, nodes: DataFrame) -> DataFrame:

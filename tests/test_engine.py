@@ -170,3 +170,22 @@ def test_queries_match_sql(spark, name):
         names = [c[0] for c in ran.description]
         want = sorted(str(tuple(dict(zip(names, r))[c] for c in columns)) for r in ran.fetchall())
         assert sorted(names) == columns and got == want
+
+
+def test_levels_broadcast_no_large_table_and_stop_at_cycles(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST", 2)  # larger fronts are shuffled, though Spark takes the files to be small
+    hints = []
+    followed = graph._followed
+    monkeypatch.setattr(graph, "_followed", lambda front, n, edges: hints.append((n, "BroadcastHashJoin" in (j := followed(front, n, edges))._jdf.queryExecution().executedPlan().toString())) or j)
+    edges = [(0, i) for i in range(1, 6)] + [(i, 6) for i in range(1, 6)] + [(6, 7), (0, 7), (7, 3000)]
+    e, nodes = edges_of(spark, edges), spark.createDataFrame([(i,) for i in [*range(8), 3000, 9]], "id long")
+    assert pairs(graph.t_level(e, nodes)) == {(0, 0), (9, 0), *((i, 1) for i in range(1, 6)), (6, 2), (7, 3), (3000, 4)}
+    assert hints == [(2, True), (5, False), (1, True), (1, True), (1, True)]
+    assert not graph.has_cycle(e) and graph.has_cycle(edges_of(spark, [*edges, (7, 6)])) and graph.has_cycle(edges_of(spark, [(3, 3)]))
+
+
+def test_levels_count_no_paths_from_unknown_nodes(spark):
+    for relabel in (lambda i: i, lambda i: (i * 7) % 11):  # edges in the order of ids, and in none
+        e = edges_of(spark, [(relabel(a), relabel(b)) for a, b in [(9, 10), (0, 2), (9, 2), (2, 3), (10, 3)]])
+        nodes = spark.createDataFrame([(relabel(i),) for i in (0, 2, 3, 10)], "id long")
+        assert pairs(graph.t_level(e, nodes)) == {(relabel(0), 0), (relabel(2), 1), (relabel(3), 2)}
