@@ -49,7 +49,8 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = runs(spark, sf_dir)
     steps = F.expr("CASE WHEN again THEN array(named_struct('phase', 4, 'tag', 'Backref')) ELSE filter(array(named_struct('phase', 1, 'tag', 'Ready'), named_struct('phase', 2, 'tag', 'Started'), named_struct('phase', 3, 'tag', 'Finished')), s -> s.phase = 1 OR s.phase = 2 AND state IN ('P', 'F') OR s.phase = 3 AND state = 'F') END")
     rows = r.withColumn("s", F.explode(steps)).select("session", "key", "at", "command", "bad", F.expr(seq("at", "ord", "s.phase")).alias("seq"), F.col("s.tag").alias("tag"))
-    heads = r.select("session").distinct().select("session", F.lit(None).cast("string").alias("key"), F.expr("make_date(int(session), 1, 1)").cast("timestamp_ntz").alias("at"), F.lit(None).cast("string").alias("command"), F.lit(None).cast("boolean").alias("bad"), F.expr(seq("make_date(int(session), 1, 1)", "0L", "0")).alias("seq"), F.lit("Header").alias("tag"))
+    years = read(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("long").alias("session")).distinct()  # as in runs
+    heads = years.select("session", F.lit(None).cast("string").alias("key"), F.expr("make_date(int(session), 1, 1)").cast("timestamp_ntz").alias("at"), F.lit(None).cast("string").alias("command"), F.lit(None).cast("boolean").alias("bad"), F.expr(seq("make_date(int(session), 1, 1)", "0L", "0")).alias("seq"), F.lit("Header").alias("tag"))
     both = rows.unionByName(heads.select(*rows.columns))
     when = "named_struct('secs_since_epoch', unix_seconds(CAST(at AS TIMESTAMP)), 'nanos_since_epoch', 0)"
     record = {

@@ -297,12 +297,8 @@ def log_outdated(spark, d):
 @query(f"{LOG} SELECT count(*) AS n, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS made FROM log")
 def log_roundtrip_diff(spark, d):
     """Records turned into JSON lines and parsed again: none is lost, none is new."""
-    log = fx.log(spark, d)
-    back = runlog.parse_lines(runlog.to_lines(log))
-    text = lambda rows: runlog.to_lines(rows)
-    return spark.range(1).select(
-        F.lit(log.count()).alias("n"), F.lit(text(log).exceptAll(text(back)).count()).cast("long").alias("lost"), F.lit(text(back).exceptAll(text(log)).count()).cast("long").alias("made")
-    )
+    n, lost, made = runlog.roundtrip(fx.log(spark, d))
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(lost).cast("long").alias("lost"), F.lit(made).cast("long").alias("made"))
 
 
 @query(f"{LOG}, ok AS (SELECT key, bool_or(tag = 'Finished' AND NOT bad) AS ok FROM log WHERE key IS NOT NULL GROUP BY key), s AS (SELECT key FROM log WHERE tag IN ('Ready', 'Started', 'Finished') QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1 AND tag = 'Finished' AND NOT bad) SELECT key FROM s")

@@ -26,11 +26,17 @@ def key(prefix: str = "") -> Column:
     return F.coalesce(*[F.col(f"{prefix}{t}.key") for t in TAGS if t != "Header"])
 
 
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Every line with its records; all are null in lines that hold none."""
+    rows = lines.withColumn("e", F.from_json("value", LOG)).select("seq", "value", *[F.col(f"e.{t}").alias(t) for t in TAGS])
+    ready = F.when(F.col("Ready").isNotNull(), F.struct("Ready.time", "Ready.key", "Ready.runcount", "Ready.command", F.coalesce("Ready.r", F.lit(0).cast("long")).alias("r")))
+    return rows.withColumns({"tag": tag(), "key": key(), "Ready": ready})
+
+
 def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     """lines(seq, value) as records with seq, tag and key. Lenient: lines of unknown kind or without JSON are dropped.
     Strict: any such line raises BadLog. Missing fields take their defaults, unknown fields are ignored."""
-    rows = lines.withColumn("e", F.from_json("value", LOG)).select("seq", "value", *[F.col(f"e.{t}").alias(t) for t in TAGS])
-    rows = rows.withColumns({"tag": tag(), "key": key()})
+    rows = _parsed(lines)
     if strict:
         head = F.col("Header").isNotNull()
         wrong = F.when(head & ~F.col("Header.version").eqNullSafe(LOG_VERSION), F.struct("seq", F.col("Header.version").alias("version")))
@@ -44,8 +50,7 @@ def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
             raise BadLog("headers have different workflow keys")
         if not violations(rows).isEmpty():
             raise BadLog("a run's records are out of order")
-    ready = F.when(F.col("Ready").isNotNull(), F.struct("Ready.time", "Ready.key", "Ready.runcount", "Ready.command", F.coalesce("Ready.r", F.lit(0).cast("long")).alias("r")))
-    return rows.filter("tag IS NOT NULL").drop("value").withColumn("Ready", ready)
+    return rows.filter("tag IS NOT NULL").drop("value")
 
 
 def numbered(lines: DataFrame) -> DataFrame:
@@ -64,6 +69,19 @@ def to_lines(rows: DataFrame) -> DataFrame:
     return rows.select("seq", body.alias("value"))
 
 
+def roundtrip(rows: DataFrame) -> tuple[int, int, int]:
+    """How many records there are, how many lines of theirs are lost when they are parsed and written again, and how many
+    are made. Each record is held against its own line in one pass; only if one differs, all lines are compared as bags."""
+    lines = to_lines(rows)
+    own = to_lines(_parsed(lines.select(F.struct("seq", "value").alias("seq"), "value")))
+    differs = F.coalesce(F.col("seq.value") != F.col("value"), F.lit(True))
+    n, differing = own.agg(F.count("*"), F.count_if(differs)).collect()[0]
+    if not differing:
+        return n, 0, 0
+    back = to_lines(parse_lines(lines))
+    return n, lines.exceptAll(back).count(), back.exceptAll(lines).count()
+
+
 def write_log(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Writes records in the order of seq as JSON lines, side by side: ranges of seq go to files whose names have the same
     order. Each append is a folder of its own, numbered from 1 on, so that names tell the order; one writer at a time."""

@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from taskframe.operators import graph, metrics, schedule, tasks
 from taskframe.plans.queries import FOUND
@@ -189,3 +190,23 @@ def test_levels_count_no_paths_from_unknown_nodes(spark):
         e = edges_of(spark, [(relabel(a), relabel(b)) for a, b in [(9, 10), (0, 2), (9, 2), (2, 3), (10, 3)]])
         nodes = spark.createDataFrame([(relabel(i),) for i in (0, 2, 3, 10)], "id long")
         assert pairs(graph.t_level(e, nodes)) == {(relabel(0), 0), (relabel(2), 1), (relabel(3), 2)}
+
+
+def test_roundtrip_is_one_pass_and_counts_what_differs(spark, monkeypatch):
+    import taskframe.fixtures as fx
+
+    log = fx.log(spark, SF)
+    bags = []
+    bag = type(log).exceptAll
+    monkeypatch.setattr(type(log), "exceptAll", lambda a, b: bags.append(1) or bag(a, b))
+    n = log.count()
+    assert runlog.roundtrip(log) == (n, 0, 0) and not bags
+    rows = log.filter("tag <> 'Header'").withColumn("Finished", log.Finished.dropFields("key"))  # a record without its key is read with one that is null
+    assert runlog.roundtrip(rows) == (rows.count(), 0, 0) and not bags
+    empty = log.select("seq", "tag", "key", "session", *[F.when(F.col("seq") % 5 > 0, F.col(t)).alias(t) for t in ("Header", "Ready", "Started", "Finished", "Backref")])
+    gone = empty.filter("seq % 5 = 0").count()
+    assert gone and runlog.roundtrip(empty) == (n, gone, 0) and len(bags) == 2
+    parse = runlog._parsed
+    monkeypatch.setattr(runlog, "_parsed", lambda lines: parse(lines).withColumn("Backref", F.when(F.col("Backref").isNotNull(), F.struct(F.concat(F.col("Backref.key"), F.lit("x")).alias("key")))))
+    refs = log.filter("tag = 'Backref'").count()
+    assert refs and runlog.roundtrip(log) == (n, refs, refs)
