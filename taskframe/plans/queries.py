@@ -168,7 +168,7 @@ def ready_topk(spark, d):
     nodes = fx.tasks(spark, d)
     level = graph.t_level(fx.edges(spark, d), nodes).select("id", F.col("level").alias("priority"))
     # a second bit makes tasks stand in two queues
-    return schedule.dispatch(nodes.withColumn("affinity", F.col("affinity").bitwiseOR(F.lit(1))).join(level, "id"), 20)
+    return schedule.dispatch(nodes.withColumn("affinity", F.col("affinity").bitwiseOR(F.lit(1))).join(level.hint("merge"), "id"), 20)
 
 
 @query(f"{RECURSIVE}, {OUTCOME} SELECT affinity, count(*) FILTER (outcome = 'success' AND id % 7 < 3) AS num_ready, count(*) FILTER (outcome = 'success' AND id % 7 = 3) AS num_inflight FROM outcome GROUP BY affinity")
