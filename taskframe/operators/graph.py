@@ -6,13 +6,20 @@ folder, which counts it; the loop ends when a round adds nothing. The number of
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import counted, kept, release, remove, scratch
 
-#: Rounds after which a loop's rows are written as one table; growth of a table of short paths; most rows of a broadcast.
-COMPACT, SHORT, BROADCAST = 12, 4, 50_000
+#: Rounds after which a loop's rows are written as one table; most rows of a broadcast.
+COMPACT, BROADCAST = 12, 50_000
+#: Nodes for each block of a set of ancestors; bytes of sets in a batch.
+BLOCK, BATCH = 4_000_000, 16 << 20
 
 
 class CycleError(ValueError):
@@ -71,37 +78,114 @@ def at_distance(edges: DataFrame, source: int, distance: int) -> DataFrame:
     return reach(edges, start, distance).filter(F.col("distance") == distance).select("id")
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every path. Semi-naive: each round extends only the pairs found in the last one, by a table of
-    short paths, which is doubled in length while it holds at most SHORT times as many pairs as there are edges."""
+def _distinct(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different (group, value), in order. Where both fit into one number, that is sorted, which is several times faster."""
+    low = int(value.min()) if len(value) else 0
+    span = int(value.max()) - low + 1 if len(value) else 1
+    if span * (int(group.max()) + 1 if len(group) else 1) < 1 << 62:
+        key = np.sort(group * span + (value - low))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
+        return key // span, key % span + low
+    by = np.lexsort((value, group))
+    group, value = group[by], value[by]
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])])[: len(value)]
+    return group[new], value[new]
+
+
+def _packed(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, count of each row) of binary rows of packed 64-bit numbers; null counts as empty."""
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    data = ids.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.int64) if data is not None and ends[-1] > ends[0] else np.zeros(0, np.int64)
+    return flat, np.diff(ends) // 8
+
+
+def _unions(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come by (id, block): first the sets that reach it (level null), then what to do with their union: level -1
+    puts it out, with its numbers only if `whole`, others send it to `dsts`. `own` adds the id itself. One union is held
+    between batches, so a node's many sets need no room at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept_ = None, np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            id_, block = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            level = np.asarray(pc.fill_null(batch.column(2), -2))
+            own = np.flatnonzero(np.asarray(batch.column(5).cast(pa.int8())))
+            group = np.cumsum(np.concatenate([[False], (id_[1:] != id_[:-1]) | (block[1:] != block[:-1])]).astype(np.int64))
+            flat, n = _packed(batch.column(4))
+            if last != (id_[0], block[0]):
+                kept_ = kept_[:0]
+            which, value = _distinct(np.concatenate([np.zeros(len(kept_), np.int64), np.repeat(group, n), group[own]]), np.concatenate([kept_, flat, id_[own]]))
+            n = np.bincount(which, minlength=group[-1] + 1)
+            last, kept_ = (id_[-1], block[-1]), value[len(value) - n[-1] :].copy()
+            sets = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.concatenate([[0], np.cumsum(n)]) * 8).astype(np.int32)), pa.py_buffer(value)])
+            at = np.flatnonzero((level == -1) | (level >= 0) & (n[group] > 0))
+            bare = (level[at] == -1) & (not whole)
+            size = np.cumsum(np.where(bare, 0, n[group[at]] * 8))
+            start = 0
+            while start < len(at):
+                stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + BATCH, "right")))
+                rows, take = pa.array(at[start:stop]), pa.array(group[at[start:stop]], mask=bare[start:stop])
+                yield pa.record_batch([*(c.take(rows) for c in batch.columns[:4]), sets.take(take), pa.array(n[group[at[start:stop]]])], ["id", "block", "level", "dsts", "ids", "n"])
+                start = stop
+
+    return run
+
+
+def _ancestors(edges: DataFrame, whole: bool) -> DataFrame:
+    """(id, block, ids, n): of every node, the number and, if `whole`, the packed numbers of itself and its ancestors.
+
+    Nodes are taken by levels. A node's set is the union of its parents' sets, so a set is sent once along each edge, and
+    no pair is looked up among those found before. Until its turn a set waits with its receivers, once for each of their
+    levels. Sets are cut in blocks by a hash, one for BLOCK nodes, and so are lists of receivers.
+    """
     spark = edges.sparkSession
-    loops = F.count_if(F.col("src") == F.col("dst")).alias("loops")
+    once = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    level = levels(once, once.select(F.col("src").alias("id")).union(once.select("dst")).distinct())
+    n, top = level.agg(F.count("*"), F.max("level")).first()
+    blocks, path = 1 + n // BLOCK, scratch(spark, "ancestors")
+    schema = "id long, block int, level int, dsts array<long>, ids binary, n long"
+    if not n:
+        return spark.createDataFrame([], schema).select("id", "block", "ids", "n")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    to = once.join(level.select(F.col("id").alias("dst"), "level").hint("merge"), "dst").groupBy(F.col("src").alias("id"), "level", place("dst").alias("part")).agg(F.collect_list("dst").alias("dsts"))
+    to = to.join(level.select("id", F.col("level").alias("at")).hint("merge"), "id").select("id", "level", "dsts", "at")
+    own = level.select("id", F.lit(-1).alias("level"), F.lit(None).cast("array<long>").alias("dsts"), F.col("level").alias("at"))
+    todo, _ = kept(to.unionByName(own).sortWithinPartitions("at"), "receivers")
+    for k in range(top + 1):
+        rows = todo.filter(F.col("at") == k).select("id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "level", "dsts", F.lit(None).cast("binary").alias("ids"))
+        rows = rows.withColumn("own", (F.col("level") == -1) & (F.col("block") == place("id")))
+        if k:
+            sent = spark.read.schema("dsts array<long>, block int, ids binary").parquet(f"{path}/level={k}")
+            rows = rows.unionByName(sent.select(F.explode("dsts").alias("id"), "block", F.lit(None).cast("int").alias("level"), F.lit(None).cast("array<long>").alias("dsts"), "ids", F.lit(False).alias("own")))
+        rows = rows.repartition("id", "block").sortWithinPartitions("id", "block", "level")
+        rows.mapInArrow(_unions(whole), schema).write.mode("append").option("compression", "zstd").partitionBy("level").parquet(path)
+        if k:
+            remove(spark, f"{path}/level={k}")
+    release(spark)
+    return spark.read.schema("id long, block int, ids binary, n long").parquet(f"{path}/level=-1")
 
-    def written(rows: DataFrame) -> tuple[DataFrame, int]:
-        seen = Observation()
-        rows, _ = kept(rows.observe(seen, F.count(F.lit(1)).alias("n"), loops), "closure")
-        if seen.get["loops"]:
-            raise CycleError("the graph has a cycle")
-        return rows, seen.get["n"]
 
-    def extended(pairs: DataFrame, by: DataFrame) -> DataFrame:
-        return pairs.select("src", F.col("dst").alias("mid")).join(by.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst) for every path. Nodes are whole numbers; an edge with a null end is none."""
 
-    step, n = written(edges.select("src", "dst").distinct())
-    most, longer = SHORT * n, n
-    while n:
-        twice, longer = written(step.unionByName(extended(step, step)).distinct())
-        if not n < longer <= most:
-            break
-        step, n = twice, longer
-    new, all_ = (twice, _Rounds(twice)) if n else (step, _Rounds(step))
-    while n and longer > n:
-        new, left = written(extended(new, step).distinct().join(all_.rows, ["src", "dst"], "left_anti"))
-        if not left:
-            break
-        all_.add(new)
-    release(spark)
-    return all_.rows
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, n = _packed(batch.column(1))
+            dst = np.repeat(np.asarray(batch.column(0)), n)
+            at = np.flatnonzero(src != dst)
+            for k in range(0, len(at), BATCH // 16):
+                yield pa.record_batch([pa.array(src[at[k : k + BATCH // 16]]), pa.array(dst[at[k : k + BATCH // 16]])], ["src", "dst"])
+
+    return _ancestors(edges, True).select("id", "ids").mapInArrow(pairs, "src long, dst long").select(*[F.col(c).cast(edges.schema[c].dataType) for c in ("src", "dst")])
+
+
+def ancestor_counts(edges: DataFrame) -> DataFrame:
+    """(id, n_ancestors) of every node that has ancestors: how many pairs of `closure` end in it."""
+    rows = _ancestors(edges, False).groupBy("id").agg((F.sum("n") - 1).alias("n_ancestors"))
+    return rows.filter("n_ancestors > 0").select(F.col("id").cast(edges.schema["dst"].dataType), "n_ancestors")
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

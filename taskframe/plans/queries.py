@@ -89,7 +89,7 @@ def descendants_d2(spark, d):
 
 @query(f"{RECURSIVE}, {fx.SQL_CLOSURE} SELECT dst AS id, count(*) AS n_ancestors FROM closure GROUP BY dst")
 def closure_counts(spark, d):
-    return graph.closure(fx.edges(spark, d)).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_ancestors"))
+    return graph.ancestor_counts(fx.edges(spark, d))
 
 
 @query(f"{RECURSIVE}, {fx.SQL_LEVELS} SELECT id, level FROM tlevel")

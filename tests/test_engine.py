@@ -173,6 +173,42 @@ def test_queries_match_sql(spark, name):
         assert sorted(names) == columns and got == want
 
 
+@pytest.mark.parametrize("block, ids", [(4_000_000, lambda i: i), (7, lambda i: (i - 20) << 58)])
+def test_closure_sends_a_set_once_along_each_edge(spark, monkeypatch, block, ids):
+    """In blocks, with sets that span batches, and with ids that fill 64 bits."""
+    monkeypatch.setattr(graph, "BLOCK", block)
+    read, distinct = spark.sparkContext.accumulator(0), graph._unions
+
+    def unions(whole):
+        run = distinct(whole)
+
+        def counting(batches):
+            def seen():
+                for batch in batches:
+                    read.add(batch.column(2).null_count)
+                    yield batch
+
+            return run(seen())
+
+        return counting
+
+    monkeypatch.setattr(graph, "_unions", unions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rng = random.Random(5)
+        deps = {i: [j for j in range(i) if rng.random() < 0.1 or i == 39] for i in range(40)}  # 39 needs all
+        reached: dict = {}
+        for i, d in deps.items():
+            reached[i] = set(d).union(*(reached[j] for j in d))
+        e = edges_of(spark, [(ids(j), ids(i)) for i, d in deps.items() for j in d])
+        assert pairs(graph.ancestor_counts(e)) == {(ids(i), len(r)) for i, r in reached.items() if r}
+        assert block == 7 or read.value == sum(map(len, deps.values()))
+        got = graph.closure(e)
+        assert pairs(got) == {(ids(j), ids(i)) for i, r in reached.items() for j in r} and got.count() == sum(map(len, reached.values()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_levels_broadcast_no_large_table_and_stop_at_cycles(spark, monkeypatch):
     monkeypatch.setattr(graph, "BROADCAST", 2)  # larger fronts are shuffled, though Spark takes the files to be small
     hints = []
