@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from .common import mix64, text_bytes
 
 #: Bytes of text that are turned into words at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 512 << 10
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

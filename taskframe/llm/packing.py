@@ -56,7 +56,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int |
 
         tokens, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for whole in batches:
-            for batch in common.slices(whole, 1, 8 << 20):
+            for batch in common.slices(whole, 1, 2 << 20):
                 flat, ends = tokens.encode(batch.column(1))
                 if end_id is not None:
                     flat, ends = np.insert(flat, ends[1:], end_id), ends + np.arange(len(ends))

@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from taskframe.llm import decontaminate
+from taskframe.llm import common, decontaminate
+from taskframe.llm.features import BATCH_BYTES
+from taskframe.llm.graphs import FILTER_BITS
 
 SCHEMA = "doc_id long, text string, score string, item_id string, words int"
 
@@ -107,3 +110,16 @@ def test_a_leaked_item_and_its_repeats_in_most_texts(spark):
     words = rows[60][1].split()
     assert all(got[i].score == 1 and got[i].item_id == 1 and got[i].n_items == 2 for i in range(60))
     assert got[100].contaminated == (plain(item, words[:200]) / len(item) >= 0.5) and got[101].item_id == 3 and got[101].score == 0.75
+
+
+def test_matching_a_batch_of_long_texts_takes_little_memory():
+    import tracemalloc
+
+    batch = pa.record_batch([pa.array([f"w{k} some words of a text. " * 800 for k in range(400)])], ["text"])  # 9 MB
+    tracemalloc.start()
+    try:
+        for part in common.slices(batch, 0, BATCH_BYTES):
+            decontaminate._hits(part.column(0), np.zeros(FILTER_BITS // 64, np.uint64))
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
