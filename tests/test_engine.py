@@ -221,6 +221,15 @@ def test_levels_broadcast_no_large_table_and_stop_at_cycles(spark, monkeypatch):
     assert not graph.has_cycle(e) and graph.has_cycle(edges_of(spark, [*edges, (7, 6)])) and graph.has_cycle(edges_of(spark, [(3, 3)]))
 
 
+@pytest.mark.parametrize("ask", [lambda e, nodes: pairs(graph.b_level(e, nodes)) == {(0, 2), (7, 0), *((i, 1) for i in range(1, 7))}, lambda e, nodes: not graph.has_cycle(e)])
+def test_blevel_and_cycle_check_broadcast_no_large_front(spark, monkeypatch, ask):
+    monkeypatch.setattr(graph, "BROADCAST", 2)
+    hints, followed = [], graph._followed
+    monkeypatch.setattr(graph, "_followed", lambda front, n, edges: hints.append((n, "BroadcastHashJoin" in (j := followed(front, n, edges))._jdf.queryExecution().executedPlan().toString())) or j)
+    assert ask(edges_of(spark, [(0, i) for i in range(1, 7)] + [(i, 7) for i in range(1, 7)]), spark.range(8))
+    assert hints == [(1, True), (6, False), (1, True)]
+
+
 def test_levels_count_no_paths_from_unknown_nodes(spark):
     for relabel in (lambda i: i, lambda i: (i * 7) % 11):  # edges in the order of ids, and in none
         e = edges_of(spark, [(relabel(a), relabel(b)) for a, b in [(9, 10), (0, 2), (9, 2), (2, 3), (10, 3)]])
